@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from newsloom.llm.boilerplate import p5_found
 from newsloom.llm.leak import p9_found
 from newsloom.llm.lines import P4_FOUND_SQL, p4_clean, p4_found
 from newsloom.llm.lookalike import p3_canonical, p3_found
 from newsloom.llm.residue import p2_found
 
-QUERIES = {"p2_found": p2_found, "p9_found": p9_found, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean}
 ORACLES = {"p4_found": P4_FOUND_SQL}
