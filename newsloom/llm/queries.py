@@ -7,6 +7,7 @@ from newsloom.llm.leak import p9_found
 from newsloom.llm.lines import P4_FOUND_SQL, p4_clean, p4_found
 from newsloom.llm.lookalike import p3_canonical, p3_found
 from newsloom.llm.residue import p2_found
+from newsloom.llm.truncation import p1_found, p1_sources
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean}
+QUERIES = {"p1_found": p1_found, "p1_sources": p1_sources, "p2_found": p2_found, "p5_found": p5_found, "p9_found": p9_found, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_clean": p4_clean}
 ORACLES = {"p4_found": P4_FOUND_SQL}
