@@ -9,6 +9,7 @@ templates of the page's host.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,19 +18,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.common import strip
-from newsloom.llm.boilerplate import Page, _table, page_elements, pages, with_templates
+from newsloom.llm.boilerplate import _ENDS, Page, Tokens, _table, page_elements, pages, with_templates
 from newsloom.llm.wordmodel import Adam, Corpus, TokenTable, averages, normal, sigmoid
 
 LANGS = ["en", "fr", "de", "es", "it", "pt", "ru"]
 # Three-letter codes and English names of the languages.
 NAMES = {"en": "eng english", "fr": "fra fre french", "de": "deu ger german", "es": "spa spanish", "it": "ita italian", "pt": "por portuguese", "ru": "rus russian"}
 #: The classifier is fitted on at most this many labelled documents of each language.
-SAMPLE_PER_LANGUAGE = 250
+SAMPLE_PER_LANGUAGE = 200
 BUCKETS, LO, HI = 1 << 15, 1, 4
 #: A whole paragraph has at least this many words.
-LEAST_WORDS = 5
+LEAST_WORDS = 7
 #: Below this confidence a paragraph is ambiguous and proves no second language.
-SURE = 0.85
+SURE = 0.9
 
 
 def label(c: Column) -> Column:
@@ -47,14 +48,14 @@ def codewords(n: int) -> np.ndarray:
     return h[1 : n + 1, 1:].astype(np.float32)
 
 
-def fit(rows: list[tuple[str, str]], rounds: int = 40) -> np.ndarray:
+def fit(rows: list[tuple[str, str]], rounds: int = 60) -> np.ndarray:
     """Weights (bucket x bit) of the binary classifiers from (language, text) rows, some of them mislabelled."""
     code = codewords(len(LANGS))
     segments, y = [], []
     for lang, text in rows:
-        for line in text.split("\n"):
+        for line in re.split(r"\n|(?<=[.!?])\s+", text):
             words = [w for t in line.split() if (w := normal(t))]
-            if len(words) >= 8:
+            if len(words) >= 6:
                 segments.append(words)
                 y.append(LANGS.index(lang))
     weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
@@ -63,7 +64,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 40) -> np.ndarray:
     corpus, y = Corpus(segments, LO, HI, BUCKETS, False), np.array(y)
     weight = 1 / np.bincount(y, minlength=len(LANGS))[y].astype(np.float32)
     for phase in range(2):
-        adam, params = Adam(1.0), {"w": weights}
+        adam, params = Adam(0.5), {"w": weights}
         for _ in range(rounds // 2):
             margins = corpus.forward(params["w"])
             t = code[y]
@@ -96,12 +97,12 @@ def _judge(weights: np.ndarray, everywhere: list[int], t: dict):
     code = codewords(len(LANGS))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = TokenTable(weights, LO, HI, False)
+        table, seen = TokenTable(weights, LO, HI, False), Tokens()
         known: dict[str | None, tuple[frozenset, frozenset]] = {}
         for batch in batches:
             if len(table) > 1_000_000:
                 table.clear_all()
-            ids, ends, owner, number = [], [], [], []
+            ids, ends, owner, number, stops = [], [], [], [], []
             keys, heads = batch.column(3), batch.column(4)
             rows = batch.column(0).to_pylist()
             for k, (g, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
@@ -109,7 +110,7 @@ def _judge(weights: np.ndarray, everywhere: list[int], t: dict):
                     if len(known) > 2000:
                         known.clear()
                     known[g] = (frozenset(keys[k].as_py() or ()), frozenset(heads[k].as_py() or ()))
-                p = Page(body, t)
+                p = Page(body, t, seen)
                 out = set(page_elements(p, *known[g], rare))
                 for n, line in zip(p.at, p.raw, strict=True):
                     if n not in out:
@@ -117,6 +118,7 @@ def _judge(weights: np.ndarray, everywhere: list[int], t: dict):
                         ends.append(len(ids))
                         owner.append(k)
                         number.append(n)
+                        stops.append(line.endswith(_ENDS))
             ids_, ends_, owner_ = np.array(ids, np.int64), np.array(ends, np.int64), np.array(owner, np.int64)
             margins, n = averages(table.rows, ids_, ends_)
             best, sure = decode(margins, code)
@@ -125,7 +127,7 @@ def _judge(weights: np.ndarray, everywhere: list[int], t: dict):
             np.add.at(whole, owner_, margins * n[:, None])
             np.add.at(words, owner_, n)
             all_best, all_sure = decode(whole / np.maximum(words, 1)[:, None], code)
-            firm = (n >= LEAST_WORDS) & (sure >= SURE)
+            firm = (n >= LEAST_WORDS) & (sure >= SURE) & np.array(stops, bool)
             has = np.zeros((len(rows), len(LANGS)), bool)
             has[owner_[firm], best[firm]] = True
             mixed = has.sum(1) > 1

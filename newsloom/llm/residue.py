@@ -75,12 +75,21 @@ SHORT = 400
 FILLER_WORDS = 2000
 
 _SENTENCE = r"\n+|(?<=[.!?])\s+"
-_HINT = r"[{$#@*_\[]|<[%!a-z]|%[A-Za-z]|&lt;|undefined|null|NaN|TK TK|xxx|XXX|(?i:asdf|placeholder|dummy|goes here| here|lorem|copy to come|going live)"
+# What every placeholder or stock line holds; plain searches are much cheaper than the patterns.
+_HINT = r"[{$#@*_\[]|<[%!a-z]|%[A-Za-z]|&lt;"
+_HINT_WORDS = ["undefined", "null", "NaN", "TK TK", "xxx", "XXX", "asdf", "qwer", "ASDF", "laceholder", "LACEHOLDER", "ummy ", "UMMY ", " here", " HERE", "orem ipsum", "OREM IPSUM", "opy to come", "OPY TO COME", "oing live", "OING LIVE"]
+
+
+def _holds(value: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | value.contains(w)
+    return out
 
 
 def _masked(text: Column) -> Column:
-    """Lower case, with each run of hexadecimal digits that holds a digit as one sign."""
-    return F.regexp_replace(F.lower(text), r"\b[0-9a-f]*[0-9][0-9a-f]*\b", "0")
+    """Lower case, with each run of digits as one sign."""
+    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
 
 
 def _terms(text: Column) -> Column:
@@ -98,9 +107,15 @@ def filler_words(values: DataFrame) -> list[str]:
 
 def is_residue(value: Column, filler: list[str]) -> Column:
     """Whether a value holds placeholders, stock lines or a run of filler words."""
-    run = r"(?i)(?:\b(?:" + "|".join(filler) + r")\b[ ,.;\n]*){4,}"
-    marks = value.rlike(_HINT) & value.rlike("|".join(PLACEHOLDERS + [d if not d.startswith("(?i)(?:") and not d.startswith("(?i)") else f"(?:{d})" for d in DUMMIES]))
-    return marks | value.rlike(run)
+    marks = (value.rlike(_HINT) | _holds(value, _HINT_WORDS)) & value.rlike("|".join(PLACEHOLDERS + [f"(?:{d})" for d in DUMMIES]))
+    # a run of four filler words, among them one of five letters; that one is looked for first
+    by_letter: dict[str, list[str]] = {}
+    for w in filler:
+        by_letter.setdefault(w[0], []).append(w[1:])
+    word = "(?:" + "|".join(c + "(?:" + "|".join(sorted(ends, reverse=True)) + ")" for c, ends in sorted(by_letter.items())) + ")"
+    low = F.lower(value)
+    run = _holds(low, [w for w in filler if len(w) >= 5]) & low.rlike(rf"\b(?:{word}[ ,.;\n]+){{3}}{word}\b")
+    return marks | run
 
 
 def is_notice(value: Column) -> Column:
