@@ -63,10 +63,11 @@ def _blocks(subjects: list[str]):
     return pack
 
 
-def _gradients(params: dict[str, np.ndarray]):
+def _gradients(shared):
     """Sums of the gradients over the blocks of a partition, and the loss."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params = shared.value
         sums = {k: np.zeros_like(v) for k, v in params.items()}
         loss, n = 0.0, 0
         for batch in batches:
@@ -96,7 +97,9 @@ def train(labelled: DataFrame, subjects: list[str]) -> dict[str, np.ndarray]:
     adam = Adam(RATE)
     for _ in range(STEPS):
         # each partition answers with one row of fixed size
-        rows = blocks.mapInArrow(_gradients(params), "g binary, loss double, n long").collect()
+        shared = blocks.sparkSession.sparkContext.broadcast(params)
+        rows = blocks.mapInArrow(_gradients(shared), "g binary, loss double, n long").collect()
+        shared.destroy()  # its files would add up over the steps
         n = sum(r["n"] for r in rows)
         if not n:
             break
