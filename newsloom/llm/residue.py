@@ -74,7 +74,7 @@ SHORT = 400
 #: A filler vocabulary holds at most this many words, the most frequent ones.
 FILLER_WORDS = 2000
 
-_SENTENCE = r"\n+|(?<=[.!?])\s+"
+_SENTENCE = r"\n+|[.!?]+\s+"
 # What every placeholder or stock line holds; plain searches are much cheaper than the patterns.
 _HINT = r"[{$#@*_\[]|<[%!a-z]|%[A-Za-z]|&lt;"
 _HINT_WORDS = ["undefined", "null", "NaN", "TK TK", "xxx", "XXX", "asdf", "qwer", "ASDF", "laceholder", "LACEHOLDER", "ummy ", "UMMY ", " here", " HERE", "orem ipsum", "OREM IPSUM", "opy to come", "OPY TO COME", "oing live", "OING LIVE"]
@@ -92,6 +92,10 @@ def _masked(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[0-9]+", "0")
 
 
+def _sentences(text: Column) -> Column:
+    return F.transform(F.split(_masked(text), _SENTENCE), lambda x: F.rtrim(x, F.lit(".!?")))
+
+
 def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 5)
 
@@ -130,7 +134,7 @@ def notice_sentences(values: DataFrame, least_articles: int = 5, least_hosts: in
     as part of a short value, at most a tenth of them with a term of title or
     slug in it, and long values hold it at most a fifth as often.
     """
-    masked = F.split(_masked(F.col("value")), _SENTENCE)
+    masked = _sentences(F.col("value"))
     short = values.where(F.length("value") <= SHORT).withColumn("t", F.concat_ws(" ", "title", "slug"))
     s = short.select("article_id", "host", _terms(F.col("t")).alias("terms"), F.explode(masked).alias("s")).where("length(s) >= 8")
     one = s.groupBy(F.xxhash64("s").alias("h"), F.xxhash64("article_id").alias("a")).agg(F.min("host").alias("host"), F.max(F.arrays_overlap(_terms(F.col("s")), "terms")).alias("same"))
@@ -152,7 +156,7 @@ def find_residue(df: DataFrame, row: str, article: str, url: str, title: str, fi
     value = F.col("value")
     sure = values.where(is_residue(value, filler_words(values)) | is_notice(value)).select("row", "field")
     known = small(notice_sentences(values))
-    s = values.where(F.length("value") <= SHORT).select("row", "field", F.length(_masked(value)).alias("all"), F.explode(F.split(_masked(value), _SENTENCE)).alias("s"))
+    s = values.where(F.length("value") <= SHORT).select("row", "field", F.length(_masked(value)).alias("all"), F.explode(_sentences(value)).alias("s"))
     hit = s.withColumn("h", F.xxhash64("s")).join(known, "h", "left_semi").groupBy("row", "field").agg(F.sum(F.length("s")).alias("n"), F.first("all").alias("all")).where("n >= 0.6 * all").select("row", "field")
     return sure.union(hit).distinct().withColumnRenamed("row", row)
 
