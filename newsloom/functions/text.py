@@ -5,10 +5,10 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.common import strip
+from newsloom.common import staged, strip
 
 # Characters replaced, and those removed.
 REPLACED = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", " ": " "}
@@ -55,9 +55,19 @@ def nfc(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), _nfc(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(c)
 
 
+def composed(df: DataFrame, *cols: str) -> DataFrame:
+    """`df` with the text of `cols` in composed form, as the cleaning functions below expect it.
+
+    Functions of arrays cannot hold Python's result, so it gets a stage of its own.
+    """
+    x = df.withColumns({f"__nl_{c}": nfc(F.col(c)) for c in cols})
+    x = x.select(*[F.col(f"__nl_{c}").alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
+    return staged(x, {c: F.col(c) for c in cols}).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def normalize(c: Column) -> Column:
-    """TXT-01: composed, with plain punctuation and without controls; null and empty stay."""
-    return strip_controls(replace_chars(nfc(c)))
+    """TXT-01 for composed text: plain punctuation, no controls; null and empty stay."""
+    return strip_controls(replace_chars(c))
 
 
 def is_boilerplate(line: Column) -> Column:
@@ -81,12 +91,14 @@ def dedup_lines(lines: Column) -> Column:
 
     The first places of the keys come from a map, so long texts take linear time.
     """
-    keys = F.transform(lines, line_key)
-    places = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
-    order = F.array_sort(places)
-    first = F.filter(order, lambda p, j: (p["k"] == "") | (j == 0) | (F.try_element_at(order, j)["k"] != p["k"]))
-    kept = F.array_sort(F.transform(first, lambda p: p["i"]))
-    return F.transform(kept, lambda i: lines[i])
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  binds an array once, as lambdas evaluate outer expressions for each element
+
+    def kept(own: Column) -> Column:
+        places = F.array_sort(F.transform(own, lambda x, i: F.struct(line_key(x).alias("k"), i.alias("i"))))
+        first = bound(places, lambda o: F.filter(o, lambda p, j: (p["k"] == "") | (j == 0) | (F.try_element_at(o, j)["k"] != p["k"])))
+        return F.transform(F.array_sort(F.transform(first, lambda p: p["i"])), lambda i: own[i])
+
+    return bound(lines, kept)
 
 
 def clean_text(c: Column) -> Column:
