@@ -54,7 +54,7 @@ def mark_repeated_lines(df: DataFrame, group: str, body: str, least_rows: int =
     Null bodies give nothing, copies of a row each give theirs.
     """
     marked = with_frequent(df, group, frequent_lines(df, group, body, least_rows, least_share)).where("__nl_set is not null")
-    keep = [c for c in df.columns if c != body]
+    keep = [c for c in df.columns if c not in (body, "line_no")]
     lines = marked.select(*keep, "__nl_set", F.posexplode(line_keys(F.col(body))).alias("line_no", "__nl_l")).where("__nl_l <> ''")
     return lines.where(F.array_contains("__nl_set", _hash(F.col("__nl_l")))).select(*keep, F.col("line_no").cast("bigint").alias("line_no"))
 
