@@ -27,7 +27,8 @@ def with_site(df: DataFrame, sites: DataFrame, url: str, keep: list[str], name:
     of several the longest. Hosts are cut to as many labels as the domains have
     and joined on equality, so the test on the ending costs no nested loop. With
     `name`, rows whose URL is blank take the site of that spelled name. `sites`
-    is broadcast only if a count shows it small.
+    is broadcast only if a count shows it small. Columns of `df` with the names in
+    `keep` are replaced.
     """
     base = sites.where(F.col("domain").isNotNull()).select(F.lower("domain").alias("__nl_domain"), *[F.col(k).alias(f"__nl_s_{k}") for k in keep], F.col("source_name").alias("__nl_name"))
     base = base.dropDuplicates(["__nl_domain"])
@@ -46,4 +47,4 @@ def with_site(df: DataFrame, sites: DataFrame, url: str, keep: list[str], name:
         out = out.join(hint(spelled), own == F.col("__nl_key"), "left").drop("__nl_key")
         found.append(F.col("__nl_site_0"))
     site = F.coalesce(*found) if found else F.struct(*[F.lit(None).cast("string").alias(k) for k in keep])
-    return out.withColumn("__nl_site", site).select(*df.columns, *[F.col("__nl_site")[k].alias(k) for k in keep])
+    return out.withColumn("__nl_site", site).select(*[F.col(f"`{c}`") for c in df.columns if c not in keep], *[F.col("__nl_site")[k].alias(k) for k in keep])

@@ -6,6 +6,7 @@ from urllib.parse import urljoin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from newsloom.common import strip
 
@@ -83,7 +84,7 @@ def clean_url(url: Column) -> Column:
     return F.regexp_replace(strip(url), r"/+\z", "")
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def _join(base: str | None, link: str | None) -> str | None:
     try:
         return urljoin(base or "", (link or "").strip())

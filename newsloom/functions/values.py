@@ -7,6 +7,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from newsloom.common import strip
 
@@ -15,7 +16,7 @@ FORMATS = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX][X]", "yyyy-MM-dd HH:mm
 
 
 def _fuzzy(default: dt.datetime):
-    @F.pandas_udf("timestamp")
+    @F.pandas_udf(TimestampType())
     def parse(s: pd.Series) -> pd.Series:
         try:
             from dateutil import parser

@@ -127,6 +127,7 @@ def to_utc(df: DataFrame, value: str, zone: str, order: str, out: str = "epoch_u
     zone database has, which bounds the broadcast interval table.
     """
     spark = df.sparkSession
+    df = df.drop(out)
     x = parse_fields(df, value, order)
     z = F.col("__nl_zone")
     sign = F.when(F.regexp_extract(z, r"([+\-−])", 1) == "+", 1).otherwise(-1)
