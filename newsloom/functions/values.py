@@ -41,7 +41,7 @@ def parse_date(c: Column, as_of: dt.datetime | None = None) -> Column:
     Known formats are tried first; only what they cannot read goes to the fuzzy
     parser, and only with `as_of`, from which it takes missing parts.
     """
-    x = F.regexp_replace(strip(c), r"^[A-Za-z]{3,9},?\s+(?=\d)", "")
+    x = F.regexp_replace(strip(c), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
     known = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in FORMATS])
     if as_of is None:
         return known
