@@ -116,7 +116,7 @@ def _score(params: dict[str, np.ndarray], subjects: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = TokenTable((params["e"] @ params["v"]).astype(np.float32), LO, HI, True)
         stop: dict[str, bool] = {}
-        bias = params["b"]
+        bias, least = params["b"], params["t"]
         for batch in batches:
             if len(words) > 2_000_000:
                 words.clear_all()
@@ -132,7 +132,7 @@ def _score(params: dict[str, np.ndarray], subjects: list[str]):
                             owner.append(k)
                             at = len(ids)
             mean, n = averages(words.rows, np.array(ids, np.int64), np.array(ends, np.int64))
-            bears = (mean + bias > 0) & (n > 0)[:, None]
+            bears = (mean + bias > least) & (n > 0)[:, None]
             owner_ = np.array(owner, np.int64)
             # a text none of whose sentences bears clearly on a subject is judged by its clearest sentence
             best = np.full((batch.num_rows, len(subjects)), -np.inf)
@@ -161,6 +161,11 @@ def classify(docs: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFra
     named = small(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED))
     x = docs.where(F.col("text").rlike(r"\S")).select("doc_id", "text")
     params = train(x.join(named, "doc_id").select("text", "named"), subjects)
+    # sentences that bear on nothing get the share of their subject's documents, the others nearly 1: the middle parts them
+    n = max(1, named.count())
+    found = {r["s"]: r["n"] / n for r in named.select(F.explode("named").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = np.array([min(0.98, found.get(s, 0.0)) for s in subjects], np.float32)
+    params["t"] = np.log((1 + base) / (1 - base))
     return x.mapInArrow(_score(params, subjects), "doc_id long, subject string, share double, sentences int")
 
 

@@ -68,7 +68,8 @@ def _rolling(codes: np.ndarray, seed: int) -> dict[int, np.ndarray]:
     out, h = {}, np.full(len(codes), seed, np.uint64)
     for k in range(1, max(ORDERS) + 1):
         prev = np.zeros(len(codes), np.uint64)
-        prev[k - 1 :] = codes[: len(codes) - k + 1]
+        if k <= len(codes):
+            prev[k - 1 :] = codes[: len(codes) - k + 1]
         h = _mix(h * np.uint64(1099511628211) + prev + np.uint64(k))
         if k in ORDERS:
             out[k] = h
