@@ -78,3 +78,15 @@ def staged(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in cols]
     return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each combination of `keys`: the first by `order` (nulls last), ties by the other columns.
+
+    A partial minimum finds it, so a hot key is never gathered in one task.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    by = [*[c for c in order if c in rest], *[c for c in rest if c not in order]]
+    at = F.struct(*[x for c in by for x in (F.col(f"`{c}`").isNull().alias(f"n_{c}"), F.col(f"`{c}`").alias(f"v_{c}"))])
+    least = df.groupBy(*keys).agg(F.min(at).alias("__nl_first"))
+    return least.select(*[F.col(f"`{c}`") if c in keys else F.col("__nl_first")[f"v_{c}"].alias(c) for c in df.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.common import strip
@@ -21,22 +21,20 @@ def judge(frontier: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """DED-05: every candidate with `article_id`, `accepted` and `reject_reason`.
 
     A candidate is rejected by validation, because `seen` (article_id) has it, or
-    as a later repeat by (priority, seq). Hot repeats of one URL spread over the
-    window's sort only; the first is found by a partial minimum.
+    as a later repeat by (priority, seq), found by a partial minimum.
     """
-    x = frontier.withColumn("url", strip(F.col("url"))).withColumns({"__nl_v": validate_url(F.col("url")), "article_id": url_hash(F.col("url"))})
-    x = x.withColumn("__nl_at", F.struct("priority", "seq", "url"))
+    # equal rows are one row with a count until the end, so copies of a URL are never gathered
+    x = frontier.withColumn("url", strip(F.col("url"))).groupBy(*frontier.columns).agg(F.count(F.lit(1)).alias("__nl_n"))
+    x = x.withColumns({"__nl_v": validate_url(F.col("url")), "article_id": url_hash(F.col("url"))})
+    x = x.withColumn("__nl_at", F.struct("priority", "seq", *[c for c in frontier.columns if c not in ("priority", "seq")]))
     first = x.where("__nl_v.valid").groupBy(F.col("article_id").alias("__nl_id")).agg(F.min("__nl_at").alias("__nl_first"))
     x = x.join(first, F.col("article_id") == F.col("__nl_id"), "left")
     if seen is not None:
         x = x.join(seen.select(F.col("article_id").alias("__nl_seen")).distinct(), F.col("article_id") == F.col("__nl_seen"), "left")
     else:
         x = x.withColumn("__nl_seen", F.lit(None).cast("string"))
-    w = Window.partitionBy("article_id", "priority", "seq", "url").orderBy("discovered_via") if "discovered_via" in frontier.columns else None
-    again = F.col("__nl_at") != F.col("__nl_first")
-    if w is not None:
-        x = x.withColumn("__nl_k", F.row_number().over(w))
-        again = again | (F.col("__nl_k") > 1)
+    x = x.withColumn("__nl_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__nl_n"))))
+    again = (F.col("__nl_at") != F.col("__nl_first")) | (F.col("__nl_k") > 1)
     reason = F.when(~F.col("__nl_v.valid"), F.col("__nl_v.reason")).when(F.col("__nl_seen").isNotNull(), "seen").when(again, "duplicate")
     return x.withColumns({"reject_reason": reason, "accepted": reason.isNull()}).select(*frontier.columns, "article_id", "accepted", "reject_reason")
 

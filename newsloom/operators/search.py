@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.common import strip
+from newsloom.common import keep_first, strip
 from newsloom.functions.urls import domain_key, is_valid_url
 
 # Fixed values.
@@ -35,9 +35,7 @@ def build_query(keyword: Column, site: Column | None = None, exclude: Column | N
 
 def dedup_results(df: DataFrame, key: str = "query", url: str = "url", rank: str = "rank") -> DataFrame:
     """QRY-04: the first result of each URL within a query; rows without a URL are dropped, ties resolve by all columns."""
-    ties = [F.col(c).asc_nulls_last() for c in df.columns if c not in (key, url, rank)]
-    w = Window.partitionBy(key, url).orderBy(F.col(rank).asc_nulls_last(), *ties)
-    return df.where(F.coalesce(F.col(url), F.lit("")) != "").withColumn("__nl_n", F.row_number().over(w)).where("__nl_n = 1").drop("__nl_n")
+    return keep_first(df.where(F.coalesce(F.col(url), F.lit("")) != ""), [key, url], [rank])
 
 
 def top_results(df: DataFrame, most: int, key: str = "query", rank: str = "rank") -> DataFrame:
@@ -56,9 +54,7 @@ def filter_results(df: DataFrame, least_snippet: int = 20, allowed: list[str] |
     if allowed:
         x = x.where(domain.isin([a.lower() for a in allowed]))
     x = x.where(F.length(strip(F.coalesce(F.col(snippet), F.lit("")))) >= least_snippet)
-    names = order or []
-    w = Window.partitionBy(url).orderBy(*[F.col(c).asc_nulls_last() for c in [*names, *[c for c in df.columns if c not in names]]])
-    return x.withColumn("__nl_n", F.row_number().over(w)).where("__nl_n = 1").drop("__nl_n")
+    return keep_first(x, [url], order or [])
 
 
 def known_sources(requested: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
