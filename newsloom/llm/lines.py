@@ -44,7 +44,7 @@ def frequent_lines(df: DataFrame, group: str, body: str, least_rows: int = 5, le
 
 def with_frequent(df: DataFrame, group: str, frequent: DataFrame) -> DataFrame:
     """Add `__nl_set`, the frequent line hashes of the row's group (null if none)."""
-    side = small(frequent.groupBy("__nl_fg").agg(F.collect_list(F.struct("a", "b")).alias("__nl_set")))
+    side = small(frequent.groupBy("__nl_fg").agg(F.collect_list(F.struct("a", "b")).alias("__nl_set")), 20_000)  # rows of some hundred hashes each
     return df.join(side, F.col(group) == F.col("__nl_fg"), "left").drop("__nl_fg")
 
 
