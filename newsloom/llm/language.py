@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.common import strip
-from newsloom.llm.boilerplate import _ENDS, Page, Tokens, _table, page_elements, pages, with_templates
+from newsloom.llm.boilerplate import _ENDS, _ODD, Page, Tokens, _table, page_elements, pages, with_templates
 from newsloom.llm.wordmodel import Adam, Corpus, TokenTable, averages, normal, sigmoid
 
 LANGS = ["en", "fr", "de", "es", "it", "pt", "ru"]
@@ -51,29 +51,35 @@ def codewords(n: int) -> np.ndarray:
 def fit(rows: list[tuple[str, str]], rounds: int = 60) -> np.ndarray:
     """Weights (bucket x bit) of the binary classifiers from (language, text) rows, some of them mislabelled."""
     code = codewords(len(LANGS))
-    segments, y = [], []
-    for lang, text in rows:
+    segments, y, doc = [], [], []
+    odd = _table()
+    for k, (lang, text) in enumerate(rows):
+        text = text.translate(odd) if _ODD.search(text) else text  # as pages are read when judged
         for line in re.split(r"\n|(?<=[.!?])\s+", text):
             words = [w for t in line.split() if (w := normal(t))]
             if len(words) >= 6:
                 segments.append(words)
                 y.append(LANGS.index(lang))
+                doc.append(k)
     weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
     if not segments:
         return weights
-    corpus, y = Corpus(segments, LO, HI, BUCKETS, False), np.array(y)
-    weight = 1 / np.bincount(y, minlength=len(LANGS))[y].astype(np.float32)
-    for phase in range(2):
-        adam, params = Adam(0.5), {"w": weights}
-        for _ in range(rounds // 2):
+    corpus, y, doc = Corpus(segments, LO, HI, BUCKETS, False), np.array(y), np.array(doc)
+    weight = 1 / np.sqrt(np.bincount(y, minlength=len(LANGS))[y]).astype(np.float32)
+    # a short first fit, before wrong labels are learned by heart, then the rest without them
+    for phase, steps in enumerate((rounds // 4, rounds - rounds // 4)):
+        adam, params = Adam(0.5), {"w": np.zeros_like(weights)}
+        for _ in range(steps):
             margins = corpus.forward(params["w"])
             t = code[y]
             grad = -t * sigmoid(-t * margins) * (weight / weight.sum())[:, None]
             adam.step(params, {"w": corpus.backward(grad.astype(np.float32), weights.shape)})
         weights = params["w"]
-        if not phase:  # labels that the first fit contradicts are taken for wrong
-            found = decode(corpus.forward(weights), code)[0]
-            weight = np.where(found == y, weight, 0).astype(np.float32)
+        if not phase:  # a document whose sentences contradict its label has a wrong one
+            sums = np.zeros((len(rows), code.shape[1]))
+            np.add.at(sums, doc, corpus.forward(weights))
+            found = decode(sums / np.maximum(np.bincount(doc, minlength=len(rows)), 1)[:, None] * 4, code)[0]
+            weight = np.where(found[doc] == y, weight, 0).astype(np.float32)
     return weights
 
 
