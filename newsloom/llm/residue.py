@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.common import cut, small, table
+from newsloom.common import cut, small, staged, table
 from newsloom.functions.sites import host
 
 # Template syntax and left-over variables.
@@ -77,7 +77,7 @@ FILLER_WORDS = 2000
 _SENTENCE = r"\n+|[.!?]+\s+"
 # What every placeholder or stock line holds; plain searches are much cheaper than the patterns.
 _HINT = r"[{$#@*_\[]|<[%!a-z]|%[A-Za-z]|&lt;"
-_HINT_WORDS = ["undefined", "null", "NaN", "TK TK", "xxx", "XXX", "asdf", "qwer", "ASDF", "laceholder", "LACEHOLDER", "ummy ", "UMMY ", " here", " HERE", "orem ipsum", "OREM IPSUM", "opy to come", "OPY TO COME", "oing live", "OING LIVE"]
+_HINT_WORDS = ["undefined", "null", "nan", "tk tk", "xxx", "asdf", "qwer", "placeholder", "dummy ", " here", "lorem ipsum", "copy to come", "going live"]
 
 
 def _holds(value: Column, words: list[str]) -> Column:
@@ -109,16 +109,17 @@ def filler_words(values: DataFrame) -> list[str]:
     return sorted({*CLASSIC, *(r["w"] for r in n.orderBy(F.desc("n"), "w").limit(FILLER_WORDS).collect())})
 
 
-def is_residue(value: Column, filler: list[str]) -> Column:
-    """Whether a value holds placeholders, stock lines or a run of filler words."""
-    marks = (value.rlike(_HINT) | _holds(value, _HINT_WORDS)) & value.rlike("|".join(PLACEHOLDERS + [f"(?:{d})" for d in DUMMIES]))
+def is_residue(value: Column, low: Column, filler: list[str]) -> Column:
+    """Whether a value, given also in lower case, holds placeholders, stock lines or a run of filler words."""
+    marks = (value.rlike(_HINT) | _holds(low, _HINT_WORDS)) & value.rlike("|".join(PLACEHOLDERS + [f"(?:{d})" for d in DUMMIES]))
     # a run of four filler words, among them one of five letters; that one is looked for first
     by_letter: dict[str, list[str]] = {}
     for w in filler:
         by_letter.setdefault(w[0], []).append(w[1:])
     word = "(?:" + "|".join(c + "(?:" + "|".join(sorted(ends, reverse=True)) + ")" for c, ends in sorted(by_letter.items())) + ")"
-    low = F.lower(value)
-    run = _holds(low, [w for w in filler if len(w) >= 5]) & low.rlike(rf"\b(?:{word}[ ,.;\n]+){{3}}{word}\b")
+    signs = [w for w in filler if len(w) >= 5]
+    signs = [w for w in signs if not any(v in w and v != w for v in signs)]
+    run = _holds(low, signs) & low.rlike(rf"\b(?:{word}[ ,.;\n]+){{3}}{word}\b")
     return marks | run
 
 
@@ -154,7 +155,8 @@ def find_residue(df: DataFrame, row: str, article: str, url: str, title: str, fi
     each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     values = df.select(F.col(row).alias("row"), F.col(article).alias("article_id"), host(F.col(url)).alias("host"), F.col(title).alias("title"), slug.alias("slug"), each).where(F.col("value").rlike(r"\S"))
     value = F.col("value")
-    sure = values.where(is_residue(value, filler_words(values)) | is_notice(value)).select("row", "field")
+    lowered = staged(values.select("row", "field", "value"), {"low": F.lower("value")})  # once, not for each search
+    sure = lowered.where(is_residue(value, F.col("low"), filler_words(values)) | is_notice(value)).select("row", "field")
     known = small(notice_sentences(values))
     s = values.where(F.length("value") <= SHORT).select("row", "field", F.length(_masked(value)).alias("all"), F.explode(_sentences(value)).alias("s"))
     hit = s.withColumn("h", F.xxhash64("s")).join(known, "h", "left_semi").groupBy("row", "field").agg(F.sum(F.length("s")).alias("n"), F.first("all").alias("all")).where("n >= 0.6 * all").select("row", "field")
