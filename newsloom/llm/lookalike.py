@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections import Counter
 
+import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from newsloom.common import small, stored, table
+from newsloom.common import small, staged, stored, table
 
 # Letters of other scripts above the Latin letters that they look like.
 _CYRILLIC = "АВЕЅІЈКМНОРСТХаесіјорѕухүһԁԛԝЁЇёїУЗԌ"
@@ -95,15 +99,67 @@ def several(df: DataFrame, scope: list[str], value: str) -> DataFrame:
     return x.withColumn("__nl_s", F.xxhash64(*scope)).join(small(spread), "__nl_s", "left_semi").drop("__nl_s")
 
 
+class _Kinds(dict):
+    """Of a character: 0 for none of these, 1 to 4 for a letter of Latin, Cyrillic, Greek or Armenian, 5 for one with a plain look-alike."""
+
+    def __init__(self) -> None:
+        src, _, many = mapping()
+        super().__init__(dict.fromkeys(set(src) - set(_CYRILLIC + _GREEK + _ARMENIAN + "\t") | set(many), 5))
+
+    def __missing__(self, c: str) -> int:
+        name = unicodedata.name(c, "") if c.isalpha() else ""
+        self[c] = out = next((i for i, s in enumerate(("LATIN", "CYRILLIC", "GREEK", "ARMENIAN"), 1) if name.startswith(s)), 0)
+        return out
+
+
+@F.pandas_udf(StructType([StructField("nfc", StringType()), StructField("nfd", StringType()), StructField("odd", IntegerType())]))
+def _forms(s: pd.Series) -> pd.DataFrame:
+    """Composed and decomposed form, and the number of odd characters and of letters outside the main script."""
+    kinds = _Kinds()
+
+    def one(v: str | None):
+        if v is None:
+            return None, None, None
+        c = unicodedata.normalize("NFC", v)
+        n = [0] * 6
+        for x, k in Counter(c).items():
+            n[kinds[x]] += k
+        return c, unicodedata.normalize("NFD", v), n[5] + sum(n[1:5]) - max(n[1:5])
+
+    return pd.DataFrame([one(v) for v in s], columns=["nfc", "nfd", "odd"])
+
+
+def _collation_key(c: Column) -> Column:
+    """The sort key of a text under the collation as bytes, so that classes can be hashed instead of shuffled as texts."""
+    jvm = SparkContext._active_spark_context._jvm
+    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return Column(utils.column(jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(utils.expression(F.collate(c, "UNICODE")._jc))))
+
+
 def canonicalise(df: DataFrame, value: str, scope: list[str]) -> DataFrame:
-    """`df` with `value` replaced by its class's canonical member within the scope; rows and nulls stay."""
-    x = df.withColumn("__nl_h", F.sha2(value, 256))
-    c = classes(several(df.select(*scope, value), scope, value), scope, value)
+    """`df` with `value` replaced by its class's canonical member within the scope, composed; rows and nulls stay.
+
+    The canonical member is one of the class's own texts: the one with the fewest
+    odd characters and letters outside its main script. A value without
+    look-alikes is its own class. Classes are counted by hashes; only texts of
+    classes with several members are joined.
+    """
+    other = F.col(value).rlike(r"[^\x00-\x7F]")
+    rest = [c for c in df.columns if c != value]
+    x = df.withColumn("__nl_f", F.when(other, _forms(F.when(other, F.col(value)))))
+    x = staged(x, {"__nl_v": F.coalesce("__nl_f.nfc", value), "__nl_d": F.coalesce("__nl_f.nfd", value), "__nl_odd": F.coalesce("__nl_f.odd", F.lit(0))})
+    x = staged(x.select(*[F.col(f"`{c}`") for c in rest], "__nl_v", "__nl_d", "__nl_odd"), {"__nl_k": look(F.col("__nl_d"))})
+    x = stored(x.select(*[F.col(f"`{c}`") for c in rest], F.col("__nl_v"), F.sha2("__nl_v", 256).alias("__nl_h"), F.sha2(_collation_key(F.col("__nl_k")), 256).alias("__nl_c"), F.struct("__nl_odd", F.col("__nl_d") != F.col("__nl_k")).alias("__nl_rank")))
     names = [f"__nl_{s}" for s in scope]
-    c = c.select(*[F.col(s).alias(n) for s, n in zip(scope, names, strict=True)], F.col("__nl_h").alias("__nl_h2"), F.col("canonical").alias("__nl_canonical"))
-    on = functools.reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(n)) for s, n in zip(scope, names, strict=True)], F.col("__nl_h") == F.col("__nl_h2"))
-    own = look(F.col(value))
-    return x.join(c, on, "left").withColumn(value, F.coalesce("__nl_canonical", own)).select(*df.columns)
+    keys = [*[F.col(s).alias(n) for s, n in zip(scope, names, strict=True)], F.col("__nl_c").alias("__nl_c2")]
+    on = functools.reduce(lambda a, b: a & b, [*[F.col(s).eqNullSafe(F.col(n)) for s, n in zip(scope, names, strict=True)], F.col("__nl_c") == F.col("__nl_c2")])
+    best = x.where("__nl_h is not null").groupBy(*keys).agg(F.min(F.struct("__nl_rank", "__nl_h"))["__nl_h"].alias("__nl_m"), F.min("__nl_h").alias("a"), F.max("__nl_h").alias("b"))
+    best = small(best.where("a <> b").select(*names, "__nl_c2", "__nl_m"))
+    texts = x.join(best, on).where("__nl_h = __nl_m").groupBy(*names, "__nl_c2").agg(F.any_value("__nl_v").alias("__nl_canonical"))
+    y = x.join(best, on, "left")
+    own = y.where("__nl_m is null or __nl_h = __nl_m").withColumn(value, F.col("__nl_v"))
+    changed = y.where("__nl_h <> __nl_m").drop(*names, "__nl_c2", "__nl_m").join(texts, on).withColumn(value, F.col("__nl_canonical"))
+    return own.select(*df.columns).union(changed.select(*df.columns))
 
 
 def lookalike_pairs(df: DataFrame, scope: list[str], row: str, value: str) -> DataFrame:
@@ -133,5 +189,5 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p3_canonical(spark, sf_dir: str) -> DataFrame:
-    """(row_id, field, value): every title and body in the canonical form of its look-alike class."""
-    return canonicalise(_values(spark, sf_dir), "value", ["article_id", "field"]).select("row_id", "field", "value")
+    """(row_id, field, value): every title and body in the canonical form of its look-alike class, over all articles."""
+    return canonicalise(_values(spark, sf_dir), "value", ["field"]).select("row_id", "field", "value")

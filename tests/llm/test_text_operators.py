@@ -90,6 +90,17 @@ def test_copies_never_pair(spark):
     assert lookalike.lookalike_pairs(df, ["article_id"], "row_id", "value").count() == 2000
 
 
+def test_canonical_over_all_values(spark):
+    """Lone values keep their own script and composed letters, and copies of other articles get the same form."""
+    russian, accented = "Москва и область", "Crème brûlée"
+    rows = [(1, "title", russian), (2, "title", "Ответ Ώρα Ў"), (3, "title", unicodedata.normalize("NFD", accented)), (4, "title", accented), (5, "title", "Mocква и область"), (6, "title", "COBA text"), (7, "title", "COВA text"), (8, "title", unicodedata.normalize("NFD", "Ў")), (9, "title", "Ў"), (10, "title", "Creme brulee"), (11, "title", "  two  blanks "), (12, "title", None), (13, "body", "Mocква и область"), (14, "title", "")]
+    df = table(spark, rows, "row_id long, field string, value string")
+    got = {r["row_id"]: r["value"] for r in lookalike.canonicalise(df, "value", ["field"]).collect()}
+    assert len(got) == len(rows) and got[1] == got[5] == russian and got[2] == rows[1][2]
+    assert got[3] == got[4] == accented and got[6] == got[7] == "COBA text" and got[8] == got[9] == "Ў"
+    assert got[10] == "Creme brulee" and got[11] == "  two  blanks " and got[12] is None and got[13] == "Mocква и область" and got[14] == ""
+
+
 # ---- 4 -------------------------------------------------------------------------------------
 def test_repeated_lines(spark):
     rng = random.Random(2)
