@@ -7,7 +7,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
+from pyspark.sql.types import ArrayType, LongType
 
 from newsloom.common import strip
 
@@ -16,36 +16,45 @@ FORMATS = ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX][XX][X]", "yyyy-MM-dd HH:mm
 
 
 def _fuzzy(default: dt.datetime):
-    @F.pandas_udf(TimestampType())
+    @F.pandas_udf(ArrayType(LongType()))
     def parse(s: pd.Series) -> pd.Series:
-        try:
-            from dateutil import parser
-        except ImportError:
-            return pd.Series([pd.NaT] * len(s), dtype="datetime64[us, UTC]")
+        """Microseconds since 1970 of each text."""
+        from dateutil import parser
 
-        def one(v: str | None):
+        def one(v: str | None) -> int | None:
             try:
                 d = parser.parse(v, fuzzy=True, default=default) if v and v.strip() else None
-            except (ValueError, OverflowError):
-                return pd.NaT
-            return pd.NaT if d is None else pd.Timestamp(d if d.tzinfo else d.replace(tzinfo=dt.UTC)).tz_convert("UTC")
+                return None if d is None else ((d if d.tzinfo else d.replace(tzinfo=dt.UTC)) - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)) // dt.timedelta(microseconds=1)
+            except (ValueError, OverflowError, TypeError, ArithmeticError):
+                return None
 
-        return pd.Series([one(v) for v in s], dtype="datetime64[us, UTC]")
+        return pd.Series([None if x is None else [one(v) for v in x] for x in s], dtype=object)
 
     return parse
 
 
-def parse_date(c: Column, as_of: dt.datetime | None = None) -> Column:
-    """DAT-01: the instant of a date in text, naive ones as UTC; null for null, blank or unreadable.
+def _known(c: Column) -> Column:
+    x = F.regexp_replace(strip(c), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in FORMATS])
+
+
+def parse_dates(texts: Column, as_of: dt.datetime | None = None) -> Column:
+    """DAT-01 over an array: the instant of each date in text, naive ones as UTC; null for null, blank or unreadable.
 
     Known formats are tried first; only what they cannot read goes to the fuzzy
-    parser, and only with `as_of`, from which it takes missing parts.
+    parser, which takes missing parts from `as_of`, by default the start of today.
     """
-    x = F.regexp_replace(strip(c), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    known = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in FORMATS])
-    if as_of is None:
-        return known
-    return F.coalesce(known, _fuzzy(as_of)(F.when(known.isNull(), c)))
+    default = as_of or dt.datetime.now(dt.UTC).replace(hour=0, minute=0, second=0, microsecond=0, tzinfo=None)
+    rest = F.transform(texts, lambda s: F.when(_known(s).isNull() & (strip(s) != ""), s))
+    some = F.exists(rest, lambda s: s.isNotNull())
+    read = F.when(some, _fuzzy(default)(F.when(some, rest)))
+    known = F.transform(texts, _known)
+    return F.coalesce(F.zip_with(known, read, lambda k, r: F.coalesce(k, F.timestamp_micros(r))), known)
+
+
+def parse_date(c: Column, as_of: dt.datetime | None = None) -> Column:
+    """DAT-01 for one text; see `parse_dates`."""
+    return parse_dates(F.array(c), as_of)[0]
 
 
 def ensure_utc(local: Column, zone: Column | str = "UTC") -> Column:

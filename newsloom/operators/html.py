@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from newsloom.functions.urls import url_hash
-from newsloom.functions.values import parse_date
+from newsloom.functions.values import parse_dates
 from newsloom.operators.dom import article
 from newsloom.schemas import IMAGES, METADATA
 
@@ -37,11 +38,12 @@ def _kernel(kept: list[str], arrow: pa.Schema):
     return run
 
 
-def extract(df: DataFrame, source: str, query: str | None) -> DataFrame:
+def extract(df: DataFrame, source: str, query: str | None, as_of: dt.datetime | None = None) -> DataFrame:
     """Articles of the pages in `df` (url, html, final_url, error, and columns to keep), with `_ok` and `_error`.
 
     The article's id and URL are those of the final URL; an error of the fetch, a
     missing page and a page without title or content are told apart in `_error`.
+    Dates take missing parts from `as_of`, by default the start of today.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -49,7 +51,7 @@ def extract(df: DataFrame, source: str, query: str | None) -> DataFrame:
     schema = S.StructType([df.schema[c] for c in kept] + [S.StructField(n, t, True) for n, t in _FIELDS] + [S.StructField("_ok", S.BooleanType()), S.StructField("_error", S.StringType())])
     x = df.mapInArrow(_kernel(kept, to_arrow_schema(schema)), schema)
     final = F.coalesce("final_url", "url")
-    dated = F.transform("dates", lambda s: parse_date(s))
-    x = x.withColumns({"source_url": F.when(F.col("url") != final, F.col("url")), "published_at": F.filter(dated, lambda t: t.isNotNull())[0]})
+    x = x.withColumn("__nl_dates", parse_dates(F.col("dates"), as_of))  # a stage of its own, as functions of arrays cannot hold Python's result
+    x = x.withColumns({"source_url": F.when(F.col("url") != final, F.col("url")), "published_at": F.get(F.filter("__nl_dates", lambda t: t.isNotNull()), F.lit(0))}).drop("__nl_dates")
     x = x.withColumns({"article_id": url_hash(final), "url": final, "source": F.lit(source), "search_query": F.lit(query), "tags": F.array().cast("array<string>"), "status": F.lit("raw")})
     return x.drop("dates", "final_url", "error")

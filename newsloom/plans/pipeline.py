@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -102,10 +103,11 @@ def html_articles(spark, d) -> DataFrame:
     a = table(spark, d, "articles").where("body is not null and url is not null")
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     paras = F.array_join(F.transform(F.split("body", "\n"), lambda x: F.concat(F.lit("<p>"), esc(x), F.lit("</p>"))), "")
-    head = F.concat(F.lit("<html><head><title>"), esc(F.col("title")), F.lit("</title><meta property='og:title' content=\""), esc(F.col("title")), F.lit("\"></head><body><nav><ul><li>Home</li></ul></nav><article>"))
-    page = a.select("row_id", "url", F.concat(head, paras, F.lit("</article><footer>end</footer></body></html>")).alias("html"))
-    x = H.extract(page.withColumns({"final_url": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}), "direct", None)
-    return x.select("row_id", "article_id", "title", F.length("body").alias("body_chars"), "metadata.word_count", "_ok", "_error")
+    head = F.concat(F.lit("<title>"), esc(F.col("title")), F.lit("</title><meta property='og:title' content=\""), esc(F.col("title")), F.lit("\"></head><body><nav><ul><li>Home</li></ul></nav><article>"))
+    date = F.when(F.col("published_at").isNotNull(), F.concat(F.lit("<meta property='article:published_time' content=\""), esc(F.col("published_at")), F.lit("\">"))).otherwise("")
+    page = a.select("row_id", "url", F.concat(F.lit("<html><head>"), date, head, paras, F.lit("</article><footer>end</footer></body></html>")).alias("html"))
+    x = H.extract(page.withColumns({"final_url": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}), "direct", None, dt.datetime(2024, 1, 1))
+    return x.select("row_id", "article_id", "title", "published_at", F.length("body").alias("body_chars"), "metadata.word_count", "_ok", "_error")
 
 
 def oracles(normal: Callable[[str], str], strip: Callable[[str], str], title: str) -> dict[str, str]:

@@ -12,7 +12,9 @@ from newsloom import queries as Q
 from newsloom.functions import text as T
 from newsloom.functions import urls as U
 from newsloom.functions import values as V
+from newsloom.operators import html as H
 from newsloom.operators import search as S
+from newsloom.sources import search as R
 
 DATA = "/root/testdata/sf0.001"
 
@@ -98,6 +100,20 @@ def test_dates(spark):
     assert spark.range(1).select(V.is_recent(F.lit("2025-01-01").cast("timestamp"), as_of), V.is_recent(F.lit(None).cast("timestamp"), as_of)).first()[:] == (True, False)
 
 
+def test_dates_beyond_the_formats(spark):
+    parse = lambda v: one(spark, v, V.parse_date)
+    assert parse("2024/03/14") == dt.datetime(2024, 3, 14) and parse("03/14/2024 5:30 PM") == dt.datetime(2024, 3, 14, 17, 30)
+    assert parse("March 14, 2024 10:00 AM") == dt.datetime(2024, 3, 14, 10) and parse("Published 3 Mar 2024") == dt.datetime(2024, 3, 3)
+    assert one(spark, "3 Mar", lambda c: V.parse_date(c, dt.datetime(2020, 1, 1))) == dt.datetime(2020, 3, 3)
+    many = one(spark, ["garbage", None, "2024/03/14 09:00 +0100", "2024-03-15"], V.parse_dates, "array<string>")
+    assert many == [None, None, dt.datetime(2024, 3, 14, 8), dt.datetime(2024, 3, 15)]
+    pages = spark.createDataFrame([("https://a.example/1", f"<title>A title</title><meta name='date' content='Published 3 Mar 2024'><article><p>{'A sentence of the body. ' * 20}</p></article>", None, None)], "url string, html string, final_url string, error string")
+    assert H.extract(pages, "direct", None).first()["published_at"] == dt.datetime(2024, 3, 3)
+    assert H.extract(pages.withColumn("html", F.replace("html", F.lit("<meta name='date' content='Published 3 Mar 2024'>"), F.lit(""))), "direct", None).first()["published_at"] is None
+    payloads = spark.createDataFrame([('{"articles": [{"url": "u", "publishedAt": "2024/03/14"}]}',)], "payload string")
+    assert R.api_articles(payloads).first()["published_at"] == dt.datetime(2024, 3, 14)
+
+
 def test_maps_and_json(spark):
     m = spark.sql("select map('a', '1', 'b', '2') as a, map('b', '3') as b")
     assert m.select(V.merge_maps(F.col("a"), F.col("b"))).first()[0] == {"a": "1", "b": "3"}
