@@ -1,10 +1,11 @@
-"""PIP-08 to PIP-10, PIP-12: from sources to a frontier to outputs, composed on the driver."""
+"""PIP-06, PIP-08 to PIP-10, PIP-12: from sources to a frontier to outputs, composed on the driver."""
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.config import Settings
@@ -51,8 +52,17 @@ def no_search():
     return hits
 
 
-def run(spark: SparkSession, args, settings: Settings) -> dict:
-    """Counts of one run, after its outputs (cleaned, failed, exports) are written below `args.out`."""
+def call_each(cleaned: DataFrame, on_article: Callable[[Row], object]) -> None:
+    """PIP-06: `on_article` on the driver for each row, a partition at a time; its errors are logged and end nothing."""
+    for row in cleaned.toLocalIterator():
+        try:
+            on_article(row)
+        except Exception:
+            log.exception("on_article failed for %s", row["url"])
+
+
+def run(spark: SparkSession, args, settings: Settings, on_article: Callable[[Row], object] | None = None) -> dict:
+    """Counts of one run, after its outputs (cleaned, failed, exports) are written below `args.out`; `on_article` gets each cleaned row."""
     with Timer() as t:
         found = collect(spark, args, settings).persist()
         fetcher = fetch.TableFetcher(spark.read.parquet(args.pages)) if args.pages else fetch.HttpFetcher(partitions=args.workers, attempts=settings.max_retries)
@@ -64,6 +74,8 @@ def run(spark: SparkSession, args, settings: Settings) -> dict:
         if stats["total"]:
             articles = tagged.withColumns({"scraped_at": F.current_timestamp(), "processing_time_ms": F.lit(None).cast("double"), "error_message": F.lit(None).cast("string")}).drop("_ok", "_error")
             cleaned = articles.where("outcome = 'cleaned'").withColumn("status", F.lit("cleaned")).drop("outcome", "reason", "lang")
+            if on_article:
+                call_each(cleaned, on_article)
             sinks.write_keyed(sinks.latest(cleaned.drop("metadata", "images", "tags"), "article_id", ["scraped_at", "url"]), f"{args.out}/cleaned")
             sinks.failed(tagged).write.mode("append").json(f"{args.out}/failed")
             if stats["successful"]:

@@ -9,6 +9,7 @@ from newsloom import cli, config, retry
 from newsloom.operators import dom
 from newsloom.operators import frontier as D
 from newsloom.operators import search as S
+from newsloom.plans import orchestrate
 from newsloom.plans import pipeline as P
 from newsloom.sources import fetch, sinks
 from newsloom.sources import search as R
@@ -60,6 +61,18 @@ def test_run_outcomes(spark):
     assert tagged.where("url = 'https://a.example/1'").first()["published_at"].year == 2024
 
 
+def test_callback_for_each_row(spark, caplog):
+    got = []
+
+    def on_article(row):
+        got.append(row["url"])
+        if row["url"] == "u1":
+            raise ValueError("no")
+
+    orchestrate.call_each(spark.createDataFrame([("u1",), ("u2",)], "url string"), on_article)
+    assert sorted(got) == ["u1", "u2"] and "on_article failed for u1" in caplog.text
+
+
 def test_validity(spark):
     df = spark.createDataFrame([("T", "X" * 300, None), ("T", "Too short", None), ("T", None, "s"), (None, "X" * 300, None)], "title string, body string, snippet string")
     assert [r[0] for r in df.select(P.is_valid()).collect()] == [True, False, True, False]
