@@ -1,13 +1,16 @@
 """Problem 5: page elements mixed with an article's own text.
 
-Template deduction by equivalence classes, per host. The tokens are line
-segments in their role: a whole line, an item of a separated list, a sentence of
-a line; digits and capitalised words inside are slots. Tokens are grouped by
-their occurrence vectors across the pages (articles) of one host, kept as a
-count and an order-free signature. Tokens frequent on the host, classes of
-several tokens that share a vector, and tokens that stand where the text does
-not go on are template; list blocks below a template heading nest in it. The
-lines that remain in the slots are the article's own.
+Template deduction by equivalence classes, per host. The constant words of a line
+in their role (the line they stand in; digits and capitalised words are slots)
+occur together on every page, so a line stands for all of them. Lines, items of
+separated lists and sentences are grouped by their occurrence vectors across the
+pages (articles) of one host, kept as a number of pages and an order-free
+signature of pages and counts. A class is large and frequent by its lines and its
+share of pages, and valid if its lines keep one order on all pages and if it
+nests outside the text, that is, hardly ever stands between two paragraphs. Valid
+classes are the template; list blocks below a template heading are slots that
+nest in it. The same deduction over all hosts finds elements that are rare on
+each. The lines that remain in the outer slot are the article's own.
 """
 
 from __future__ import annotations
@@ -21,16 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.common import cut, small, table
+from newsloom.common import cut, small, stored, table
 from newsloom.functions.sites import with_site
 from newsloom.llm.lookalike import mapping
 from newsloom.llm.residue import residue_bodies
 
-#: Longer lines are paragraphs; no token is made of them.
-LONGEST_ELEMENT = 260
 _DIGITS = re.compile(r"[0-9]+")
 _MARKER = re.compile(r"([0-9]+[.)]|[›•*\-–·»>])\s+")
 _ITEMS = re.compile(r"\s+[|/›>·•]\s+|\s{2,}")
+_SEPARATOR = re.compile(r"[|/›>·•\t]|  ")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _SOME_WORDS = re.compile(r"(?:[a-zß-ÿа-яё][^a-zß-ÿа-яё]*){4}")
 #: Anything but the characters of Latin text as usually written.
@@ -43,19 +45,29 @@ def _table() -> dict[int, str | None]:
     return {ord(c): (dst[i] if i < len(dst) else None) for i, c in enumerate(src)} | {ord(k): v for k, v in many.items()}
 
 
-def _masked(text: str, first: bool) -> str:
-    """Lower-case text with digits and capitalised words as slots; `first` tells whether the first word may be one."""
+def _slots(words: list[str]) -> list[str]:
+    """The words in lower case, runs of capitalised ones as one slot."""
     out: list[str] = []
-    for i, w in enumerate(text.split(" ")):
+    for w in words:
         lead = w.lstrip("\"'(«“„[")
-        if lead[:1].isupper() and (i or first):
+        if lead[:1].isupper():
             tail = w[len(w.rstrip(",.;:!?)\"'»”]")) :]
             if out and out[-1] == "A":
                 out.pop()
             out.append("A" + tail)
         else:
             out.append(w.lower())
-    return _DIGITS.sub("0", " ".join(out))
+    return out
+
+
+def _masked(text: str) -> tuple[str, str]:
+    """A text with digits and capitalised words as slots: with its first word kept, and with that as a slot if capitalised."""
+    first, *rest = text.split(" ")
+    rest = _slots(rest)
+    whole = [first.lower(), *rest]
+    lead = _slots([first])
+    bare = rest if lead == ["A"] and rest and rest[0][:1] == "A" else [*lead, *rest]
+    return _DIGITS.sub("0", " ".join(whole)), _DIGITS.sub("0", " ".join(bare)) if lead[0][:1] == "A" else ""
 
 
 def _hash(kind: str, text: str) -> int:
@@ -65,25 +77,25 @@ def _hash(kind: str, text: str) -> int:
 def tokens(line: str) -> tuple[int, int, list[int], list[int], int]:
     """Of one line: its masked token (0 if nothing is masked), its fully masked token (0 if too bare), those of its items and of its sentences, and its caseless token.
 
-    A paragraph has the caseless token only.
+    A paragraph has the caseless token and those of its items only.
     """
     s = " ".join(line.split())
     plain = _hash("c", _DIGITS.sub("0", s.lower()))
     if is_paragraph(s):
-        return 0, 0, [], [], plain
+        items = [x for x in _ITEMS.split(line) if x.strip()] if _SEPARATOR.search(line) else []
+        return 0, 0, [_hash("i", _DIGITS.sub("0", " ".join(x.split()).lower())) for x in items] if len(items) > 2 else [], [], plain
     raw = line
     if raw.isupper() and len(raw) > 3:
         raw, s = raw.lower(), s.lower()
-    bare = _masked(s, True)
-    whole = _masked(s, False)
+    whole, bare = _masked(s)
     low = _DIGITS.sub("0", s.lower())
-    items = [x for x in _ITEMS.split(raw) if x.strip()] if len(raw) < 160 else []
+    items = [x for x in _ITEMS.split(raw) if x.strip()] if _SEPARATOR.search(raw) else []
     parts = _SENTENCES.split(s)
     return (
         _hash("l", whole) if whole != low else 0,
-        _hash("m", bare) if whole != bare and _SOME_WORDS.search(bare) and not bare.endswith(_ENDS) else 0,
+        _hash("m", bare) if bare and _SOME_WORDS.search(bare) and not bare.endswith(_ENDS) else 0,
         [_hash("i", _DIGITS.sub("0", " ".join(x.split()).lower())) for x in items] if len(items) > 1 else [],
-        [_hash("s", _masked(x, False)) for x in parts] if len(parts) > 1 else [],
+        [_hash("s", _masked(x)[0]) for x in parts] if len(parts) > 1 else [],
         plain,
     )
 
@@ -94,7 +106,7 @@ def is_paragraph(line: str) -> bool:
 
 def title_like(line: str) -> bool:
     """A line that could be the heading of another article: no full stop, no mark of a list."""
-    return 25 <= len(line) <= 160 and not line.endswith(_ENDS)
+    return len(line) >= 25 and not line.endswith(_ENDS)
 
 
 class Tokens(dict):
@@ -125,12 +137,12 @@ class Page:
         self.marks = [m.group(1) if (m := _MARKER.match(s)) else "" for s in self.lines]
         self.marks = ["0" + m[-1] if m[:1].isdigit() else m for m in self.marks]
         self.paragraph = [is_paragraph(s) for s in self.lines]
-        self.tokens = [None if self.marks[i] or len(s) > LONGEST_ELEMENT else known[self.raw[i]] for i, s in enumerate(self.lines)]
+        self.tokens = [None if self.marks[i] else known[x] for i, x in enumerate(self.raw)]
 
 
 def _scanner(t: dict):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(g, a, key, kind, occ, inner, edge, heads): once for each token of a page."""
+        """(g, a, key, kind, occ, inner, edge, heads, form, at): once for each token of a page, `at` is its first line."""
         lines = Tokens()
         for batch in batches:
             groups, articles, sizes, keys, stats = [], [], [], [], []
@@ -145,8 +157,8 @@ def _scanner(t: dict):
                     edge = i == n - 1 or i == 0
                     heads = i < n - 1 and (p.marks[i + 1] in ("›", "0.", "»", ">") or (not p.marks[i + 1] and title_like(p.lines[i + 1]))) and not p.lines[i].endswith(_ENDS)
                     stop = p.lines[i].endswith(_ENDS)
-                    for key, kind in [(tok[4], 1 if stop else 0), *([(k, 1 if stop else 0) for k in tok[:2] if k]), *((k, 2) for k in tok[2]), *((k, 3) for k in tok[3])]:
-                        e = seen.setdefault(key, [kind, 0, 0, 0, 0])
+                    for key, kind, form in [(tok[4], 1 if stop else 0, 0), *([(k, 1 if stop else 0, f) for f, k in enumerate(tok[:2], 1) if k]), *((k, 2, 3) for k in tok[2]), *((k, 3, 4) for k in tok[3])]:
+                        e = seen.setdefault(key, [kind, 0, 0, 0, 0, form, i])
                         e[1] += 1
                         e[2] += inner
                         e[3] += edge
@@ -156,9 +168,9 @@ def _scanner(t: dict):
                 sizes.append(len(seen))
                 keys.extend(seen)
                 stats.extend(seen.values())
-            each = np.array(stats, np.int32).reshape(-1, 5)
+            each = np.array(stats, np.int32).reshape(-1, 7)
             repeat = lambda x: pa.array(np.repeat(np.array(x, np.int64), sizes))
-            yield pa.RecordBatch.from_arrays([repeat(groups), repeat(articles), pa.array(keys, pa.int64()), *[pa.array(each[:, i]) for i in range(5)]], names=["g", "a", "key", "kind", "occ", "inner", "edge", "heads"])
+            yield pa.RecordBatch.from_arrays([repeat(groups), repeat(articles), pa.array(keys, pa.int64()), *[pa.array(each[:, i]) for i in range(7)]], names=["g", "a", "key", "kind", "occ", "inner", "edge", "heads", "form", "at"])
 
     return scan
 
@@ -166,28 +178,48 @@ def _scanner(t: dict):
 def template(df: DataFrame, group: str, page: str, body: str, least_pages: int = 5, share: float = 0.02, low: float = 0.0005) -> tuple[DataFrame, list[int]]:
     """The template tokens of each group as (hash g, key, heading), and those that hold for all groups.
 
-    `least_pages` and `share` say on how many pages of a group a token stands to
-    be template. Rarer tokens, on at least `low` of all pages, are template where
-    they hardly ever stand between two paragraphs; by that share their number
-    is bounded by the lines of a page over `low`.
+    `least_pages` and `share` say on how many pages of a group a class stands to
+    be frequent; one of several lines in a fixed order may be rarer. Over all
+    groups a class of open-ended lines on at least `low` of all pages is
+    frequent; by that share their number is bounded by the lines of a page over
+    `low`.
     """
     x = df.where(F.col(body).isNotNull() & F.col(group).isNotNull()).select(F.xxhash64(group).alias("g"), F.xxhash64(page).alias("a"), F.col(body).alias("b"))
-    seen = x.mapInArrow(_scanner(_table()), "g long, a long, key long, kind int, occ int, inner int, edge int, heads int")
-    one = seen.groupBy("g", "key", "a").agg(F.min("kind").alias("kind"), F.sum("occ").alias("occ"), F.sum("inner").alias("inner"), F.sum("edge").alias("edge"), F.sum("heads").alias("heads"))
-    per = cut(one.groupBy("g", "key").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a")).alias("vector"), *[F.sum(c).alias(c) for c in ("occ", "inner", "edge", "heads")]).where(F.col("n") >= 2))
+    seen = x.mapInArrow(_scanner(_table()), "g long, a long, key long, kind int, occ int, inner int, edge int, heads int, form int, at int")
+    one = stored(seen.groupBy("g", "key", "a").agg(F.min("kind").alias("kind"), *[F.sum(c).alias(c) for c in ("occ", "inner", "edge", "heads")], F.min("form").alias("form"), F.min("at").alias("at")))
+    per = cut(one.groupBy("g", "key").agg(F.min("kind").alias("kind"), F.min("form").alias("form"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "occ")).alias("vector"), *[F.sum(c).alias(c) for c in ("occ", "inner", "edge", "heads")]).where("n >= 2"))
     pages = cut(x.groupBy("g").agg(F.count_distinct("a").alias("pages")))
     total = pages.agg(F.sum("pages")).first()[0] or 0
     often = per.where(F.col("n") >= least_pages)
-    classes = often.groupBy("g", "n", "vector").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    often = often.join(small(pages), "g").join(classes, ["g", "n", "vector"], "left")
+    classes = equivalence_classes(often, one)
     part, inner = F.col("n") / F.col("pages"), F.col("inner") / F.col("occ")
-    # a line that ends like a sentence may be a remark of the text, so it must be far more frequent
-    open_end = (F.col("kind") == 0) & (((part >= share) & (inner < 0.45)) | ((part >= share / 2) & (inner < 0.2) & (F.col("n") >= 2 * least_pages)) | ((F.col("members") > 1) & (part >= share / 4) & (inner < 0.25)))
+    # a line that ends like a sentence may be a remark of the text, so its class must be far more frequent
+    open_end = (F.col("kind") == 0) & (((part >= share) & (inner < 0.45)) | ((part >= share / 2) & (inner < 0.2) & (F.col("n") >= 2 * least_pages)) | ((F.col("lines") > 1) & (part >= share / 4) & (inner < 0.25)))
     line = open_end | (F.col("kind").isin(0, 1) & (((part >= 3 * share) & (inner < 0.5)) | (part >= 0.12)))
     segment = F.col("kind").isin(2, 3) & (part >= share / 2)
-    chosen = often.where(line | segment).select("g", "key", (F.col("kind").isin(0, 1) & (F.col("heads") >= 0.6 * F.col("occ"))).alias("heading"))
-    everywhere = per.where("kind = 0").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "occ", "inner", "edge")]).where((F.col("n") >= max(8.0, low * total)) & (F.col("inner") < 0.2 * F.col("occ")))
-    return cut(chosen), [r[0] for r in everywhere.select("key").collect()]
+    valid = classes.join(small(pages), "g").where(line | segment).select("g", "n", "vector", "kind")
+    chosen = often.join(valid, ["g", "n", "vector", "kind"]).select("g", "key", (F.col("kind").isin(0, 1) & (F.col("heads") >= 0.6 * F.col("occ"))).alias("heading"))
+    # the hosts' pages are disjoint, so sums and combined signatures give the classes over all of them
+    whole = per.groupBy("key").agg(F.lit(0).cast("long").alias("g"), F.min("kind").alias("kind"), F.min("form").alias("form"), F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("n", "occ", "inner")]).where((F.col("n") >= max(8.0, low * total)) & (F.col("kind") == 0))
+    nested = whole.groupBy("n", "vector").agg(F.sum("inner").alias("inner"), F.sum("occ").alias("occ")).where("inner < 0.2 * occ").select("n", "vector")
+    return cut(chosen), [r[0] for r in whole.join(nested, ["n", "vector"]).select("key").collect()]
+
+
+def equivalence_classes(tokens_: DataFrame, one: DataFrame) -> DataFrame:
+    """(g, n, vector, kind, lines, occ, inner) of the classes of tokens with one occurrence vector.
+
+    `lines` is the number of lines of a class that keep their order on each of
+    its pages, 1 if they do not: such lines share their pages by chance and form
+    no class together. The other tokens of a line (its masked forms) are no
+    further lines.
+    """
+    n = lambda f: F.count_if(F.col("form") == f)
+    c = cut(tokens_.groupBy("g", "n", "vector", "kind").agg(F.greatest(n(0), n(1), n(2), n(3), n(4)).alias("lines"), F.sum("occ").alias("occ"), F.sum("inner").alias("inner")))
+    many = small(tokens_.join(c.where("lines > 1").select("g", "n", "vector", "kind"), ["g", "n", "vector", "kind"]).select("g", "key", "n", "vector", "kind"))
+    # the order of the lines of a class on each page, as a hash
+    order = one.select("g", "key", "a", "at").join(many, ["g", "key"]).groupBy("g", "n", "vector", "kind", "a").agg(F.hash(F.array_sort(F.collect_list(F.struct("at", "key")))["key"]).alias("o"))
+    kept = order.groupBy("g", "n", "vector", "kind").agg((F.min("o") == F.max("o")).alias("ordered"))
+    return c.join(kept, ["g", "n", "vector", "kind"], "left").withColumn("lines", F.when(F.col("ordered"), F.col("lines")).otherwise(F.lit(1))).drop("ordered")
 
 
 def _marker(everywhere: list[int], t: dict):
@@ -236,7 +268,7 @@ def page_elements(p: Page, keys: frozenset, headings: frozenset, rare: frozenset
                     hit[j] = True
                     j += 1
             else:
-                while j < n and not p.marks[j] and not hit[j] and title_like(p.lines[j]) and j <= i + 6:
+                while j < n and not p.marks[j] and not hit[j] and title_like(p.lines[j]):
                     hit[j] = True
                     j += 1
     # list blocks of the marks that only template uses, also where another element parts them from their heading
@@ -269,12 +301,12 @@ def with_templates(df: DataFrame, row: str, group: str, page: str, body: str, le
 
 
 def pages(spark, sf_dir: str, *more) -> DataFrame:
-    """(row_id, article_id, body, more columns, domain) of the articles whose body is no residue."""
+    """(row_id, article_id, body, more columns, domain) of the articles with a body."""
     a = table(spark, sf_dir, "articles").select("row_id", "article_id", "url", "body", *more).where("body is not null")
-    a = with_site(a, table(spark, sf_dir, "sites"), "url", ["domain"]).drop("url")
-    return a.join(small(residue_bodies(spark, sf_dir)), "row_id", "left_anti")
+    return with_site(a, table(spark, sf_dir, "sites"), "url", ["domain"]).drop("url")
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
-    """(row_id, line_no) of every line that is a page element, not the article's own text."""
-    return element_lines(pages(spark, sf_dir), "row_id", "domain", "article_id", "body")
+    """(row_id, line_no) of every line that is a page element, not the article's own text, in bodies that are no residue."""
+    found = element_lines(pages(spark, sf_dir), "row_id", "domain", "article_id", "body")
+    return found.join(small(residue_bodies(spark, sf_dir)), "row_id", "left_anti")

@@ -3,8 +3,10 @@
 Error-correcting output codes: each language has a codeword of 15 bits (rows of
 a Hadamard matrix, any two differ in 8 bits), a binary classifier over hashed
 character n-grams predicts each bit, and loss-weighted decoding takes the
-language whose codeword fits the margins best. Page elements are left out by the
-templates of the page's host.
+language whose codeword fits the margins best. More wrong bits than the code can
+correct, or a low confidence, make the outcome ambiguous; both together leave the
+language undetermined. Page elements are left out by the templates of the page's
+host.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.common import strip
+from newsloom.common import small, strip
 from newsloom.llm.boilerplate import _ENDS, _ODD, Page, Tokens, _table, page_elements, pages, with_templates
+from newsloom.llm.residue import residue_bodies
 from newsloom.llm.wordmodel import Adam, Corpus, TokenTable, averages, normal, sigmoid
 
 LANGS = ["en", "fr", "de", "es", "it", "pt", "ru"]
+#: The code of texts in none of the languages.
+OTHER = "und"
 # Three-letter codes and English names of the languages.
 NAMES = {"en": "eng english", "fr": "fra fre french", "de": "deu ger german", "es": "spa spanish", "it": "ita italian", "pt": "por portuguese", "ru": "rus russian"}
 #: The classifier is fitted on at most this many labelled documents of each language.
@@ -31,6 +36,8 @@ BUCKETS, LO, HI = 1 << 15, 1, 4
 LEAST_WORDS = 7
 #: Below this confidence a paragraph is ambiguous and proves no second language.
 SURE = 0.9
+#: Codewords differ in 8 of 15 bits, so 3 wrong ones can be put right.
+CORRECTABLE = 3
 
 
 def label(c: Column) -> Column:
@@ -91,6 +98,11 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return loss.argmin(1), 1 / p.sum(1)
 
 
+def wrong_bits(margins: np.ndarray, code: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """In how many bits each row of margins differs from the codeword decoded for it."""
+    return ((margins > 0) != (code[best] > 0)).sum(1)
+
+
 def _sample(df: DataFrame, group: str, page: str) -> list[tuple[str, str]]:
     x = df.where("__nl_label is not null and body is not null").select("__nl_label", "body", F.xxhash64(page).alias("h"))
     w = Window.partitionBy("__nl_label").orderBy("h", "body")
@@ -132,14 +144,16 @@ def _judge(weights: np.ndarray, everywhere: list[int], t: dict):
             words = np.zeros(len(rows))
             np.add.at(whole, owner_, margins * n[:, None])
             np.add.at(words, owner_, n)
-            all_best, all_sure = decode(whole / np.maximum(words, 1)[:, None], code)
+            mean = whole / np.maximum(words, 1)[:, None]
+            all_best, all_sure = decode(mean, code)
+            all_wrong, wrong = wrong_bits(mean, code, all_best), wrong_bits(margins, code, best)
             firm = (n >= LEAST_WORDS) & (sure >= SURE) & np.array(stops, bool)
             has = np.zeros((len(rows), len(LANGS)), bool)
             has[owner_[firm], best[firm]] = True
             mixed = has.sum(1) > 1
             one = has.sum(1) == 1
             all_best = np.where(one, has.argmax(1), all_best)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
 
             def add(*v, out=out) -> None:
                 for c, x in zip(out, v, strict=True):
@@ -147,20 +161,22 @@ def _judge(weights: np.ndarray, everywhere: list[int], t: dict):
 
             for k, row in enumerate(rows):
                 if words[k]:
-                    add(row, "body", None, LANGS[all_best[k]], float(all_sure[k]))
+                    unclear = all_wrong[k] > CORRECTABLE and not one[k]
+                    add(row, "body", None, OTHER if unclear and all_sure[k] < 0.5 else LANGS[all_best[k]], float(all_sure[k]), bool(unclear or all_sure[k] < SURE))
                     if mixed[k]:
                         for j in np.flatnonzero(has[k]):
-                            add(row, "part", None, LANGS[j], float(sure[firm & (owner_ == k) & (best == j)].max()))
+                            add(row, "part", None, LANGS[j], float(sure[firm & (owner_ == k) & (best == j)].max()), False)
             for j in np.flatnonzero(mixed[owner_]) if len(owner_) else ():
                 if n[j]:
-                    add(rows[owner_[j]], "paragraph", int(number[j]), LANGS[best[j]], float(sure[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64()), strict=True)], names=["row", "kind", "line_no", "lang", "confidence"])
+                    unclear = wrong[j] > CORRECTABLE
+                    add(rows[owner_[j]], "paragraph", int(number[j]), OTHER if unclear and sure[j] < 0.5 else LANGS[best[j]], float(sure[j]), bool(unclear or sure[j] < SURE))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["row", "kind", "line_no", "lang", "confidence", "ambiguous"])
 
     return judge
 
 
 def detect(df: DataFrame, row: str, group: str, page: str, labels: str) -> DataFrame:
-    """(row, kind, line_no, lang, confidence) of the own text of each `body` of `df`.
+    """(row, kind, line_no, lang, confidence, ambiguous) of the own text of each `body` of `df`.
 
     `kind` is `body` (one row for each body with words), `part` (one row for each
     language of a mixed body) or `paragraph` (each paragraph of a mixed body). The
@@ -169,7 +185,7 @@ def detect(df: DataFrame, row: str, group: str, page: str, labels: str) -> DataF
     x = df.withColumn("__nl_label", label(F.col(labels)))
     weights = fit(_sample(x, group, page))
     paged, everywhere = with_templates(df, row, group, page, "body")
-    return paged.mapInArrow(_judge(weights, everywhere, _table()), "row long, kind string, line_no long, lang string, confidence double")
+    return paged.mapInArrow(_judge(weights, everywhere, _table()), "row long, kind string, line_no long, lang string, confidence double, ambiguous boolean")
 
 
 def _pages(spark, sf_dir: str) -> DataFrame:
@@ -179,7 +195,8 @@ def _pages(spark, sf_dir: str) -> DataFrame:
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """(row_id, lang): languages of mixed bodies, and of the others where the label is missing or wrong."""
     a = _pages(spark, sf_dir)
-    found = detect(a, "row_id", "domain", "article_id", "label").where("kind <> 'paragraph'")
+    a = a.join(small(residue_bodies(spark, sf_dir)), "row_id", "left_anti")
+    found = detect(a, "row_id", "domain", "article_id", "label").where(f"kind <> 'paragraph' and lang <> '{OTHER}'")
     labels = a.select("row_id", label(F.col("label")).alias("given"))
     # per row: its languages if mixed, else the one of the body
     per = found.groupBy("row").agg(F.collect_list(F.when(F.col("kind") == "part", F.col("lang"))).alias("parts"), F.max(F.when(F.col("kind") == "body", F.col("lang"))).alias("one"))
@@ -189,5 +206,5 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p7_languages(spark, sf_dir: str) -> DataFrame:
-    """(row_id, kind, line_no, lang, confidence) of every body and of each paragraph of the mixed ones."""
+    """(row_id, kind, line_no, lang, confidence, ambiguous) of every body with words, residue included, and of each paragraph of the mixed ones."""
     return detect(_pages(spark, sf_dir), "row_id", "domain", "article_id", "label").withColumnRenamed("row", "row_id")

@@ -1,20 +1,26 @@
 """Problem 2: template residue, filler, error pages and script notices instead of content.
 
-Three kinds of evidence are combined. Placeholder detectors find template
-syntax anywhere in a value. A filler vocabulary is learned from the sentences
-that hold a seed word of dummy text, and runs of its words mark a value. Short
-values are compared with the terms of the title and of the address slug: a
-sentence that unrelated articles of several hosts repeat, that shares no term
-with their titles and slugs and that hardly occurs inside long texts is a notice,
-not content; notices in the usual wording are known beforehand.
+Three kinds of evidence. Placeholder detectors find template syntax and stock
+lines anywhere in a value. A filler vocabulary is learned from the sentences that
+hold a seed word of dummy text; a run of its words marks a value. Notices are
+known by no wording: the terms of the title and of the address slug are looked
+up in the value, and only values that hold hardly any of them (mismatched) go
+on. A sentence that mismatched values of several unrelated articles repeat, and
+that makes up such values together with others of its kind (they carry little
+information), is a notice; a value is a case if notices make up most of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.common import cut, small, staged, table
+from newsloom.common import cut, small, stored, table
 from newsloom.functions.sites import host
 
 # Template syntax and left-over variables.
@@ -35,12 +41,12 @@ PLACEHOLDERS = [
     r"<[a-z]+[._][a-z_.]+>",
     r"\[object Object\]",
     r"\[(?i:insert|enter|add|your|placeholder)\b[^\]\n]{0,60}\]",
-    r"\bundefined,? undefined\b",
-    r"\bnull,? null\b",
-    r"\bNaN,? NaN\b",
 ]
 # Stock lines that stand in for text.
 DUMMIES = [
+    r"\bundefined,? undefined\b",
+    r"\bnull,? null\b",
+    r"\bNaN,? NaN\b",
     r"\bTK TK\b",
     r"(?i)\bcopy to come\b",
     r"(?i)\bplaceholder (?:headline|text|copy|image|title|paragraph)\b",
@@ -52,115 +58,183 @@ DUMMIES = [
     r"(?:\b[xX]{3,}\b[ .,]*){2,}",
     r"(?i)(?:\b(?:asdf|qwer|qwerty|asdfasdf|jkl)\b[ .,]*){2,}",
 ]
-# The usual wording of error pages and script notices.
-NOTICES = [
-    r"could not be found|page not found|temporarily unavailable|service unavailable|access to this resource is denied|too many requests|did not answer in time|removed or has expired|something went wrong|we lost that page|internal server error|bad gateway",
-    r"(?:enable|turn on|activate|allow) (?:javascript|scripts)|javascript is (?:disabled|required|off)|browser does not support|needs scripts to run|scripts and cookies must be allowed|checking your browser before",
-    r"wurde nicht gefunden|nicht erreichbar|zugriff auf diese ressource|ist ein fehler aufgetreten|aktivieren sie javascript|benötigt skripte|zu viele anfragen",
-    r"est introuvable|indisponible|accès refusé|une erreur est survenue|activer javascript|nécessite l'exécution de scripts|trop de requêtes",
-    r"no se ha encontrado|servicio no disponible|acceso denegado|algo ha fallado|active javascript|necesita scripts|demasiadas (?:solicitudes|peticiones)",
-    r"non (?:è stata )?trovata|non (?:è )?disponibile|accesso negato|si è verificato un errore|attiva(?:re)? javascript|richiede (?:gli )?script|troppe richieste",
-    r"não (?:foi )?encontrada|indisponível|acesso negado|algo deu errado|ative o javascript|precisa de scripts|demasiados pedidos",
-    r"не найдена|недоступ(?:ен|на|но)|доступ[^.]{0,30}(?:запрещ|закрыт)|произошла ошибка|включите javascript|слишком много запросов",
-]
-#: A status code in the place where error pages put it.
-CODE = r"(?i)^\s*(?:(?:HTTP|Error|Erreur|Fehler|Errore|Erro|Ошибка)\s*[1-5]\d\d\b|[1-5]\d\d\s+[-–—:]\s)|\(HTTP [1-5]\d\d\)"
 # The classical dummy text, and the seeds that occur in no language's prose.
 CLASSIC = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat".split()
 SEEDS = ["lorem", "ipsum", "amet", "consectetur", "adipiscing"]
 
-#: Values up to this length can be a notice as a whole; longer ones are texts.
-SHORT = 400
-#: A filler vocabulary holds at most this many words, the most frequent ones.
-FILLER_WORDS = 2000
-
-_SENTENCE = r"\n+|[.!?]+\s+"
-# What every placeholder or stock line holds; plain searches are much cheaper than the patterns.
-_HINT = r"[{$#@*_\[]|<[%!a-z]|%[A-Za-z]|&lt;"
-_HINT_WORDS = ["undefined", "null", "nan", "tk tk", "xxx", "asdf", "qwer", "placeholder", "dummy ", " here", "lorem ipsum", "copy to come", "going live"]
-
-
-def _holds(value: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | value.contains(w)
+#: A value is mismatched if it holds at most this share of the terms of its title and slug.
+FOREIGN = 0.2
+#: Notices make up at least this share of a value that is one.
+LOW_INFORMATION = 0.6
+#: A repeated sentence stands in at least this share of all values, and in LEAST_ARTICLES articles.
+REPEATED, LEAST_ARTICLES, LEAST_HOSTS = 3e-5, 5, 2
+#: A filler word stands in at least this share of the dummy sentences, which bounds their number.
+FILLER_SHARE = 1e-3
+
+# Where a placeholder can start, and what every stock line holds; plain searches are much cheaper than the patterns.
+_START = re.compile(r"[{$#@*_\[<%&]")
+_WORDS = ("undefined undefined", "undefined, undefined", "null null", "null, null", "nan nan", "nan, nan", "tk tk", "xxx", "asdf", "qwer", "jkl", "placeholder", "dummy ", "goes here", "summary here", "text here", "headline here", "title here", "content here", "lorem ipsum", "copy to come", "going live")
+_SYNTAX = re.compile("|".join(PLACEHOLDERS))
+_STOCK = re.compile("|".join(f"(?i:{p.removeprefix('(?i)')})" if p.startswith("(?i)") else f"(?:{p})" for p in DUMMIES))
+_TERM = re.compile(r"[^\W\d_]{5,}")
+_BREAK = re.compile(r"[.!?…]+(?:\s+|$)|\s*[()]\s*")
+_DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"\w*\d\w*")
+#: A number, or a word and a number, set off before a sentence.
+_PREFIX = re.compile(r"\W*(?:\w+\s+)?0\s*[:–—-]\s+")
+_SEED = re.compile(r"\b(?:" + "|".join(SEEDS) + r")\b")
+_EDGE = " \t.!?,;'\"»«"
+
+
+def sentences(low: str) -> list[str]:
+    """Sentences of a text in lower case, every word or number with a digit as one sign, without numbers set off before them."""
+    out = []
+    for line in low.split("\n"):
+        for x in _BREAK.split(line):
+            if _DIGIT.search(x):
+                x = _NUMBER.sub("0", x)
+                if m := _PREFIX.match(x):
+                    x = x[m.end() :]
+            x = x.strip(_EDGE)
+            if len(x) >= 8:
+                out.append(x)
     return out
 
 
-def _masked(text: Column) -> Column:
-    """Lower case, with each run of digits as one sign."""
-    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
-
+def mismatched(low: str, terms: set[str]) -> bool:
+    """Whether a text in lower case holds hardly any of the terms; without terms nothing speaks against it."""
+    return sum(w in low for w in terms) <= FOREIGN * len(terms)
 
-def _sentences(text: Column) -> Column:
-    return F.transform(F.split(_masked(text), _SENTENCE), lambda x: F.rtrim(x, F.lit(".!?")))
 
+def has_placeholder(value: str, low: str) -> bool:
+    """Whether a value, given also in lower case, holds template syntax or a stock line."""
+    return any(_SYNTAX.match(value, m.start()) for m in _START.finditer(value)) or (any(w in low for w in _WORDS) and bool(_STOCK.search(value)))
 
-def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 5)
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each value that shows anything: whether it holds a placeholder, its sentences if it is mismatched, and those beside a seed of dummy text."""
+    for batch in batches:
+        at, marks, parts, dummies = [], [], [], []
+        before, terms = None, set()
+        for k, (t, value) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            low = value.lower()
+            if not low.strip():
+                continue
+            if t != before:
+                before, terms = t, set(_TERM.findall(t.lower()))
+            mark = has_placeholder(value, low)
+            own = sentences(low) if mismatched(low, terms) else None
+            dummy = re.split(r"[.!?\n]+", low) if any(w in low for w in SEEDS) and _SEED.search(low) else None
+            if mark or own or dummy:
+                at.append(k)
+                marks.append(mark)
+                parts.append(own)
+                dummies.append(dummy)
+        kept = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), batch.column(4).take(kept), batch.column(5).take(kept), pa.array(marks, pa.bool_()), pa.array(parts, pa.list_(pa.string())), pa.array(dummies, pa.list_(pa.string()))], names=["row", "field", "a", "g", "mark", "parts", "dummy"])
 
-def filler_words(values: DataFrame) -> list[str]:
-    """Words of dummy text in the column `value`: at least 60 % of their sentences there hold a seed word."""
-    seed = r"(?i)\b(?:" + "|".join(SEEDS) + r")\b"
-    s = values.where(F.col("value").rlike(seed)).select(F.explode(F.split(F.lower("value"), r"[.!?\n]+")).alias("s"))
-    w = s.select(F.col("s").rlike(seed).alias("hit"), F.explode(F.array_distinct(F.split("s", r"[^\p{L}]+"))).alias("w")).where("length(w) >= 3")
-    n = w.groupBy("w").agg(F.count_if("hit").alias("n"), F.count(F.lit(1)).alias("m")).where("n >= 5 and n >= 0.6 * m")
-    return sorted({*CLASSIC, *(r["w"] for r in n.orderBy(F.desc("n"), "w").limit(FILLER_WORDS).collect())})
 
+def filler_words(sentences_: DataFrame) -> list[str]:
+    """Words of dummy text, learned from the column `s`: at least 60 % of their sentences there hold a seed word.
 
-def is_residue(value: Column, low: Column, filler: list[str]) -> Column:
-    """Whether a value, given also in lower case, holds placeholders, stock lines or a run of filler words."""
-    marks = (value.rlike(_HINT) | _holds(low, _HINT_WORDS)) & value.rlike("|".join(PLACEHOLDERS + [f"(?:{d})" for d in DUMMIES]))
-    # a run of four filler words, among them one of five letters; that one is looked for first
-    by_letter: dict[str, list[str]] = {}
-    for w in filler:
-        by_letter.setdefault(w[0], []).append(w[1:])
-    word = "(?:" + "|".join(c + "(?:" + "|".join(sorted(ends, reverse=True)) + ")" for c, ends in sorted(by_letter.items())) + ")"
-    signs = [w for w in filler if len(w) >= 5]
-    signs = [w for w in signs if not any(v in w and v != w for v in signs)]
-    run = _holds(low, signs) & low.rlike(rf"\b(?:{word}[ ,.;\n]+){{3}}{word}\b")
-    return marks | run
-
-
-def is_notice(value: Column) -> Column:
-    """Whether a short value is an error page or a script notice by its wording."""
-    return (F.length(value) <= SHORT) & (value.rlike(CODE) | F.lower(value).rlike("|".join(NOTICES)))
-
+    By `FILLER_SHARE` their number is bounded by the words of a sentence over it.
+    """
+    hit = F.col("s").rlike(r"\b(?:" + "|".join(SEEDS) + r")\b")
+    x = sentences_.select(hit.alias("hit"), F.array_distinct(F.split("s", r"[^\p{L}]+")).alias("ws"))
+    total = x.count()
+    w = x.select("hit", F.explode("ws").alias("w")).where("length(w) >= 3")
+    n = w.groupBy("w").agg(F.count_if("hit").alias("n"), F.count(F.lit(1)).alias("m")).where((F.col("n") >= max(5, FILLER_SHARE * total)) & (F.col("n") >= 0.6 * F.col("m")))
+    return sorted({*CLASSIC, *(r["w"] for r in n.select("w").collect())})
 
-def notice_sentences(values: DataFrame, least_articles: int = 5, least_hosts: int = 3) -> DataFrame:
-    """(h): hashes of the masked sentences that short values of unrelated articles repeat.
 
-    At least `least_articles` articles of `least_hosts` hosts have the sentence
-    as part of a short value, at most a tenth of them with a term of title or
-    slug in it, and long values hold it at most a fifth as often.
+def _filler(words: list[str]):
+    """Keeps the values that hold a run of four filler words, one of them of five letters or more."""
+    signs = [w for w in words if len(w) >= 5]
+    signs = [w for w in signs if not any(v in w and v != w for v in signs)]
+    known = frozenset(words)
+    split = re.compile(r"[ ,.;\n]+")
+
+    def runs(low: str) -> bool:
+        n = 0
+        for w in split.split(low):
+            n = n + 1 if w in known else 0
+            if n == 4:
+                return True
+        return False
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = []
+            for k, value in enumerate(batch.column(2).to_pylist()):
+                low = value.lower()
+                if any(w in low for w in signs) and runs(low):
+                    at.append(k)
+            kept = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["row", "field"])
+
+    return find
+
+
+def notice_sentences(scanned: DataFrame, n_values: int) -> list[str]:
+    """Sentences that mismatched values of unrelated articles repeat and mostly consist of, from (row, field, a, g, parts).
+
+    At least `LEAST_ARTICLES` articles, and `REPEATED` of all values, have the
+    sentence, on `LEAST_HOSTS` hosts or five times on one. Of the values that hold
+    it, `LOW_INFORMATION` consist of such sentences by `LOW_INFORMATION` of their
+    length. Articles are counted by host first, so no sentence is gathered; the
+    result is bounded by the sentences of a notice over `REPEATED`.
     """
-    masked = _sentences(F.col("value"))
-    short = values.where(F.length("value") <= SHORT).withColumn("t", F.concat_ws(" ", "title", "slug"))
-    s = short.select("article_id", "host", _terms(F.col("t")).alias("terms"), F.explode(masked).alias("s")).where("length(s) >= 8")
-    one = s.groupBy(F.xxhash64("s").alias("h"), F.xxhash64("article_id").alias("a")).agg(F.min("host").alias("host"), F.max(F.arrays_overlap(_terms(F.col("s")), "terms")).alias("same"))
-    many = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("host").alias("hosts"), F.count_if("same").alias("same")).where((F.col("n") >= least_articles) & (F.col("hosts") >= least_hosts) & (F.col("same") <= 0.1 * F.col("n"))).select("h", "n")
-    many = small(many)
-    inside = values.where(F.length("value") > SHORT).select(F.explode(F.transform(masked, lambda x: F.xxhash64(x))).alias("h")).join(many, "h").groupBy("h").agg(F.count(F.lit(1)).alias("m"))
-    return many.join(inside, "h", "left").where("coalesce(m, 0) <= 0.2 * n").select("h")
+    least = max(LEAST_ARTICLES, math.ceil(REPEATED * n_values))
+    s = scanned.where("parts is not null").select("row", "field", "a", "g", F.explode("parts").alias("s"))
+    s = s.select("*", F.xxhash64("s").alias("h"), F.length("s").alias("n"))
+    hosts = s.groupBy("h", "g", "a").agg(F.any_value("s").alias("s")).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.any_value("s").alias("s"))
+    known = hosts.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), F.max("n").alias("top"), F.any_value("s").alias("s"))
+    known = small(known.where((F.col("n") >= least) & ((F.col("hosts") >= LEAST_HOSTS) | (F.col("top") >= max(5, least)))).select("h", "s"))
+    each = s.join(known.select("h", F.lit(True).alias("known")), "h", "left")
+    poor = each.groupBy("row", "field").agg((F.sum(F.when(F.col("known"), F.col("n"))) >= LOW_INFORMATION * F.sum("n")).alias("poor"), F.collect_set(F.when(F.col("known"), F.col("h"))).alias("hs"))
+    share = poor.select("poor", F.explode("hs").alias("h")).groupBy("h").agg(F.avg(F.coalesce("poor", F.lit(False)).cast("int")).alias("share"))
+    return [r["s"] for r in known.join(share.where(F.col("share") >= LOW_INFORMATION), "h").select("s").collect()]
+
+
+def _covered(notices: list[str]):
+    """Keeps the values that notices cover by most of their length."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        search = ahocorasick.Automaton()
+        for x in notices:
+            search.add_word(f" {x}", len(x) + 1)
+        search.make_automaton()
+        for batch in batches:
+            at = []
+            for k, parts in enumerate(batch.column(2).to_pylist()):
+                text = " " + " ".join(parts) + " "
+                if notices and sum(n for end, n in search.iter_long(text) if not text[end + 1].isalpha()) >= LOW_INFORMATION * (len(text) - 1):
+                    at.append(k)
+            kept = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["row", "field"])
+
+    return find
 
 
 def find_residue(df: DataFrame, row: str, article: str, url: str, title: str, fields: list[str]) -> DataFrame:
     """(`row`, field): the values of `fields` that are, or hold, template residue.
 
-    Null and blank values are none. A short value is a case too if notice
-    sentences make up at least 60 % of it.
+    Null and blank values are none; a value of any length can be one; repeated
+    rows give one. The fewer values, the fewer notices repeat and are found.
     """
     slug = F.regexp_replace(F.regexp_extract(F.col(url), r"/([^/?#]*)/?(?:[?#].*)?\s*$", 1), "[-_]+", " ")
     each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
-    values = df.select(F.col(row).alias("row"), F.col(article).alias("article_id"), host(F.col(url)).alias("host"), F.col(title).alias("title"), slug.alias("slug"), each).where(F.col("value").rlike(r"\S"))
-    value = F.col("value")
-    lowered = staged(values.select("row", "field", "value"), {"low": F.lower("value")})  # once, not for each search
-    sure = lowered.where(is_residue(value, F.col("low"), filler_words(values)) | is_notice(value)).select("row", "field")
-    known = small(notice_sentences(values))
-    s = values.where(F.length("value") <= SHORT).select("row", "field", F.length(_masked(value)).alias("all"), F.explode(_sentences(value)).alias("s"))
-    hit = s.withColumn("h", F.xxhash64("s")).join(known, "h", "left_semi").groupBy("row", "field").agg(F.sum(F.length("s")).alias("n"), F.first("all").alias("all")).where("n >= 0.6 * all").select("row", "field")
-    return sure.union(hit).distinct().withColumnRenamed("row", row)
+    terms = F.concat_ws(" ", F.col(title), slug).alias("t")
+    values = df.select(F.col(row).cast("bigint").alias("row"), terms, F.xxhash64(article).alias("a"), F.xxhash64(host(F.col(url))).alias("g"), each).where("value is not null")
+    scanned = stored(values.select("row", "field", "t", "value", "a", "g").mapInArrow(_scan, "row long, field string, a long, g long, mark boolean, parts array<string>, dummy array<string>"))
+    filler = filler_words(scanned.where("dummy is not null").select(F.explode("dummy").alias("s")))
+    notices = notice_sentences(scanned, df.count() * len(fields))
+    out = scanned.where("mark").select("row", "field")
+    out = out.union(values.select("row", "field", "value").mapInArrow(_filler(filler), "row long, field string"))
+    out = out.union(scanned.where("parts is not null").select("row", "field", "parts").mapInArrow(_covered(notices), "row long, field string"))
+    return out.distinct().withColumnRenamed("row", row)
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:

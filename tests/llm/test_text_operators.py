@@ -45,7 +45,7 @@ def test_cut_empty(spark):
 
 
 # ---- 2 -------------------------------------------------------------------------------------
-RESIDUE = ["{{ title }}", "By %AUTHOR_NAME% and more", "A text ${price} of it", "Lorem ipsum dolor sit amet", "503 - The service is temporarily unavailable", "HTTP 404: page not found", "Please enable JavaScript to view this page.", "TK TK TK - copy to come", "xxxxx xxxx xxx", "[insert body copy]", "La page demandée est introuvable."]
+RESIDUE = ["{{ title }}", "By %AUTHOR_NAME% and more", "A text ${price} of it", "Lorem ipsum dolor sit amet", "undefined, undefined", "TK TK TK - copy to come", "xxxxx xxxx xxx", "[insert body copy]"]
 REAL = ["For most of the town the booking page answered with error 404, residents said.", "A fault of only 5 % was [sic] reported.", "A plea to accept all cookies covers the screen.", "El dolor de espalda es un problema.", "", " ", "Few agreed."]
 
 
@@ -58,12 +58,22 @@ def test_residue(spark):
 
 
 def test_notices_by_evidence(spark):
-    """An unknown notice is found by its repetition over hosts and its mismatch with titles."""
-    rows = [(i, f"a{i}", f"https://h{i % 5}.example/council-{i}-meeting", "Council meeting", "Zugang gesperrt bis morgen", "x") for i in range(10)]
-    rows += [(100 + i, f"b{i}", f"https://h{i % 5}.example/x", "Harvest festival", f"The harvest festival number {i} was opened by the mayor of town {i}.", "x") for i in range(10)]
+    """Notices in any wording and of any length are found by repetition over unrelated articles and mismatch with titles."""
+    long = " ".join(f"Zugang gesperrt wegen Wartung der Anlage {w} durch den Betreiber." for w in "abcdefghijklmn")
+    rows = [(i, f"a{i}", f"https://h{i % 5}.example/council-{i}-meeting", "Council meeting", t, None) for i, t in enumerate([f"Error {i}. Zugang gesperrt bis morgen" for i in range(10)] + [f"Zugang gesperrt bis morgen (HTTP {i})\n\nKennung: a{i}f" for i in range(10)] + [long] * 10)]
+    rows += [(100 + i, f"b{i}", f"https://h{i % 5}.example/harvest-{i}-festival", "Harvest festival", f"The harvest festival number {i} was opened by mayor {chr(97 + i) * 5}. Zugang gesperrt bis morgen, said the sign at the gate.", None) for i in range(10)]
+    rows += [(200 + i, f"c{i % 2}", "https://h1.example/story", "Some title", "Scraped again and again, the same article is no notice", None) for i in range(30)]
     df = table(spark, rows, "row_id long, article_id string, url string, title string, body string, snippet string")
     got = {r["row_id"] for r in residue.find_residue(df, "row_id", "article_id", "url", "title", ["body"]).collect()}
-    assert got == set(range(10))
+    assert len(long) > 500 and got == set(range(30))
+
+
+def test_filler_vocabulary(spark):
+    """Words that share sentences with the seeds become filler words."""
+    rows = [(i, f"a{i}", "https://h.example/x", "Some title", f"Lorem quandam viveris plenit {w}. Real words follow here.", None) for i, w in enumerate(["tortis", "massel"] * 5)]
+    rows.append((50, "b", "https://h.example/y", "Other title", "The council met. Viveris quandam plenit viveris. It closed.", None))
+    df = table(spark, rows, "row_id long, article_id string, url string, title string, body string, snippet string")
+    assert {r["row_id"] for r in residue.find_residue(df, "row_id", "article_id", "url", "title", ["body"]).collect()} == {*range(10), 50}
 
 
 # ---- 3 -------------------------------------------------------------------------------------
@@ -168,6 +178,32 @@ def test_page_elements(spark, pages):
     assert boilerplate.element_lines(df.limit(0), "row_id", "domain", "article_id", "body").count() == 0
 
 
+def test_classes_decide(spark, pages, monkeypatch):
+    """Without equivalence classes hardly any element is found."""
+    _, df = pages
+    found = boilerplate.element_lines(df, "row_id", "domain", "article_id", "body").count()
+    real = boilerplate.equivalence_classes
+    monkeypatch.setattr(boilerplate, "equivalence_classes", lambda a, b: real(a, b).limit(0))
+    monkeypatch.setattr(boilerplate, "small", lambda x, *a: x)
+    assert boilerplate.template(df, "domain", "article_id", "body")[0].count() == 0 < found
+
+
+def test_long_elements_and_order(spark):
+    """A line of any length is an element; lines of one class keep their order, others are parted."""
+    notice = "We and our partners keep data in the browser of the reader " * 8 + "as described below"
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        ends = ["Imprint", "Careers"] if i % 2 else ["Careers", "Imprint"]
+        rows.append((i, f"a{i}", "s.example", "\n".join([notice, *[paragraph(rng, "en") for _ in range(3)], *(ends if i < 60 else [])])))
+    df = table(spark, rows, "row_id long, article_id string, domain string, body string")
+    got = {(r["row_id"], r["line_no"]) for r in boilerplate.element_lines(df, "row_id", "domain", "article_id", "body").collect()}
+    assert len(notice) > 400 and {(i, 0) for i in range(200)} <= got
+    one = table(spark, [(1, k, a, (k if a % 2 else 3 - k) if swap else k) for swap, ks in ((True, (1, 2)), (False, (11, 12))) for k in ks for a in range(6)], "g long, key long, a long, at int")
+    tokens = table(spark, [(1, 1, 6, 77, 0, 0, 6, 0), (1, 2, 6, 77, 0, 0, 6, 0), (1, 11, 6, 88, 0, 0, 6, 0), (1, 12, 6, 88, 0, 0, 6, 0)], "g long, key long, n long, vector long, kind int, form int, occ long, inner long")
+    assert {(r["vector"], r["lines"]) for r in boilerplate.equivalence_classes(tokens, one).collect()} == {(77, 1), (88, 2)}
+
+
 def test_languages(spark, pages):
     rows, df = pages
     found = language.detect(df, "row_id", "domain", "article_id", "label").collect()
@@ -179,6 +215,7 @@ def test_languages(spark, pages):
     right = sum((len(parts.get(i, ())) == 2) if mixed else (i not in parts and body[i] == lang) for i, _, _, _, _, lang, mixed, _ in rows)
     assert right >= 0.97 * len(rows)
     assert all(0 <= r["confidence"] <= 1 for r in found) and 900 not in body and 901 not in body
+    assert {i for i, *_ in rows} <= set(body) and not any(r["ambiguous"] for r in found if r["kind"] == "part")
 
 
 def test_codewords_and_labels(spark):
@@ -187,6 +224,7 @@ def test_codewords_and_labels(spark):
     flipped = c.copy()
     flipped[:, :3] *= -1  # three wrong bits are put right
     assert (language.decode(flipped, c)[0] == np.arange(7)).all()
+    assert (language.wrong_bits(flipped, c, np.arange(7)) == language.CORRECTABLE).all()
     labels = table(spark, [(v,) for v in (" en-GB ", "eng", "English", "EN", "xx", None, "", "de_AT", "rus")], "v string")
     assert [r[0] for r in labels.select(language.label(F.col("v"))).collect()] == ["en", "en", "en", "en", None, None, None, "de", "ru"]
 
