@@ -32,7 +32,7 @@ from newsloom.llm.residue import residue_bodies
 _DIGITS = re.compile(r"[0-9]+")
 _MARKER = re.compile(r"([0-9]+[.)]|[›•*\-–·»>])\s+")
 _ITEMS = re.compile(r"\s+[|/›>·•]\s+|\s{2,}")
-_SEPARATOR = re.compile(r"[|/›>·•\t]|  ")
+_SEPARATOR = re.compile(r"[|/›>·•\t]")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _SOME_WORDS = re.compile(r"(?:[a-zß-ÿа-яё][^a-zß-ÿа-яё]*){4}")
 #: Anything but the characters of Latin text as usually written.
@@ -45,51 +45,60 @@ def _table() -> dict[int, str | None]:
     return {ord(c): (dst[i] if i < len(dst) else None) for i, c in enumerate(src)} | {ord(k): v for k, v in many.items()}
 
 
-def _slots(words: list[str]) -> list[str]:
-    """The words in lower case, runs of capitalised ones as one slot."""
-    out: list[str] = []
-    for w in words:
-        lead = w.lstrip("\"'(«“„[")
-        if lead[:1].isupper():
-            tail = w[len(w.rstrip(",.;:!?)\"'»”]")) :]
-            if out and out[-1] == "A":
-                out.pop()
-            out.append("A" + tail)
-        else:
-            out.append(w.lower())
-    return out
+def _capitals() -> str:
+    """The upper-case letters as ranges of a character class."""
+    out, start = [], None
+    for c in range(0x41, 0x590):
+        if chr(c).isupper():
+            start = c if start is None else start
+        elif start is not None:
+            out.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return "".join(out)
+
+
+_TAIL = ",.;:!?)\"'»”"
+_NAME = rf"[\"'(«“„\[]*[{_capitals()}](?:[^ ]*[^ {_TAIL}])?"
+#: A run of capitalised words, up to the punctuation after the last one.
+_NAMES = re.compile(rf"(?<![^ ]){_NAME}(?: {_NAME})*(?=[{_TAIL}]*(?: |$))")
 
 
 def _masked(text: str) -> tuple[str, str]:
-    """A text with digits and capitalised words as slots: with its first word kept, and with that as a slot if capitalised."""
-    first, *rest = text.split(" ")
-    rest = _slots(rest)
-    whole = [first.lower(), *rest]
-    lead = _slots([first])
-    bare = rest if lead == ["A"] and rest and rest[0][:1] == "A" else [*lead, *rest]
-    return _DIGITS.sub("0", " ".join(whole)), _DIGITS.sub("0", " ".join(bare)) if lead[0][:1] == "A" else ""
+    """A text with digits and runs of capitalised words as slots: with its first word kept, and with that as a slot ('' if it is none)."""
+    first, _, rest = text.partition(" ")
+    whole = f"{first} {_NAMES.sub('\1', rest)}"
+    bare = _NAMES.sub("\1", text) if _NAMES.match(text) else ""
+    return _DIGITS.sub("0", whole.lower()), _DIGITS.sub("0", bare.lower())
 
 
 def _hash(kind: str, text: str) -> int:
     return xxhash.xxh64_intdigest(kind + text) - (1 << 63)
 
 
+def separated(line: str) -> bool:
+    return "  " in line or bool(_SEPARATOR.search(line))
+
+
+def _plain(line: str) -> int:
+    return _hash("c", _DIGITS.sub("0", line.lower()))
+
+
 def tokens(line: str) -> tuple[int, int, list[int], list[int], int]:
     """Of one line: its masked token (0 if nothing is masked), its fully masked token (0 if too bare), those of its items and of its sentences, and its caseless token.
 
     A paragraph has the caseless token and those of its items only.
     """
     s = " ".join(line.split())
-    plain = _hash("c", _DIGITS.sub("0", s.lower()))
+    plain = _plain(s)
     if is_paragraph(s):
-        items = [x for x in _ITEMS.split(line) if x.strip()] if _SEPARATOR.search(line) else []
+        items = [x for x in _ITEMS.split(line) if x.strip()] if separated(line) else []
         return 0, 0, [_hash("i", _DIGITS.sub("0", " ".join(x.split()).lower())) for x in items] if len(items) > 2 else [], [], plain
     raw = line
     if raw.isupper() and len(raw) > 3:
         raw, s = raw.lower(), s.lower()
     whole, bare = _masked(s)
     low = _DIGITS.sub("0", s.lower())
-    items = [x for x in _ITEMS.split(raw) if x.strip()] if _SEPARATOR.search(raw) else []
+    items = [x for x in _ITEMS.split(raw) if x.strip()] if separated(raw) else []
     parts = _SENTENCES.split(s)
     return (
         _hash("l", whole) if whole != low else 0,
@@ -137,7 +146,7 @@ class Page:
         self.marks = [m.group(1) if (m := _MARKER.match(s)) else "" for s in self.lines]
         self.marks = ["0" + m[-1] if m[:1].isdigit() else m for m in self.marks]
         self.paragraph = [is_paragraph(s) for s in self.lines]
-        self.tokens = [None if self.marks[i] else known[x] for i, x in enumerate(self.raw)]
+        self.tokens = [None if self.marks[i] else known[x] if not self.paragraph[i] or separated(x) else (0, 0, (), (), _plain(self.lines[i])) for i, x in enumerate(self.raw)]
 
 
 def _scanner(t: dict):
