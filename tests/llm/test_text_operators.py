@@ -41,7 +41,23 @@ def test_cut(spark):
 
 def test_cut_empty(spark):
     assert truncation.find_cut(values(spark, [("t", "d.", "c.")]).limit(0), "api_row_id", "source_name", ["content"], "title").count() == 0
-    assert truncation.LOWEST <= truncation.threshold([(-30, 5), (-2, 100)]) <= truncation.HIGHEST
+    assert -30 / 4 < truncation.valley([(-30, 5), (-29, 9), (-3, 40), (-2, 100)]) < -3 / 4
+
+
+def test_evidence_is_learned():
+    """A sign weighs what the model says of the values with it; one that whole values carry as often weighs nothing."""
+    hist = [("en", "c", 0, -28, 300), ("en", "c", 0, -4, 3000), ("en", "c", 1, -28, 200), ("en", "c", 1, -4, 5), ("en", "c", 2, -28, 20), ("en", "c", 2, -4, 200)]
+    limits, weights = truncation.calibrate(hist)
+    assert -7 < limits["en", "c"] < -1 and weights[0] > 3 and abs(weights[1]) < 0.7 and weights[2] == 0 and weights[-1] < 0
+    assert truncation.strip_signs("was clo… [+99 chars]") == ("was clo", 3) and truncation.strip_signs("was clo (more)") == ("was clo", 4) and truncation.strip_signs("is (no more)")[1] == 0
+
+
+def test_joined_model_scores_alike(spark):
+    rows = values(spark, [("A title", f"The council of town {w} met again. It was {w} who {v}", "The bridge is clo") for w in "abcdefgh" for v in ("spoke", "came home", "spo", "ca")])
+    x = rows.mapInArrow(lambda b: b, rows.schema).select(F.col("api_row_id").alias("row"), F.col("source_name").alias("source"), F.lit("f").alias("field"), F.lit("en").alias("lang"), F.lit(True).alias("many"), F.lit(0).alias("signs"), F.lit(False).alias("empty"), F.col("description").alias("text"))
+    model = truncation.train(x.union(x.withColumn("text", F.lit("It was he who spoke for long"))).select("lang", "many", "text"))
+    a, b = ({r["row"]: r["score"] for r in truncation.log_odds(x, model, most).collect()} for most in (10**6, 0))
+    assert len(a) == 32 and all(a[k] == pytest.approx(b[k]) for k in a) and len({round(v, 3) for v in a.values()}) > 1
 
 
 # ---- 2 -------------------------------------------------------------------------------------
