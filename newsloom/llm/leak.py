@@ -26,8 +26,8 @@ CHARS_PER_PASS = 4_000_000
 #: Most hits that are held at once.
 HITS = 2_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-#: Scripts that write without blanks between words.
-_UNPARTED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Blocks of the scripts that write without blanks between words: Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNPARTED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 
 def words(text: Column) -> Column:
@@ -55,6 +55,7 @@ class Index:
     def __init__(self, ids: list[int], texts: list[str], run: int, q: int, edits: int) -> None:
         self.ids, self.run, self.q, self.edits = ids, run, q, edits
         self.texts = [t.encode() for t in texts]
+        self.where: dict[int, dict[bytes, list[int]]] = {}
         self.least = np.ones(len(ids), np.int64)
         self.shift = np.zeros(len(ids), np.int64)
         for i, t in enumerate(texts):
@@ -116,13 +117,27 @@ class Index:
             found.append(rows[count >= self.least[i[start]]])
         return np.concatenate(found)
 
+    def places(self, i: int) -> dict[bytes, list[int]]:
+        """Where each word of item `i` stands."""
+        if i not in self.where:
+            self.where[i] = out = {}
+            for j, w in enumerate(self.texts[i].split()):
+                out.setdefault(w, []).append(j)
+        return self.where[i]
+
     def verify(self, text: bytes, rows: np.ndarray) -> tuple[int, int, int, int, int] | None:
         """The longest alignment within the regions `rows` of one document and item: words of the item, edits, the longest run without edits, first word in the document and in the item."""
         i = int(rows[0, 1])
         body, best, exact = self.texts[i], None, 0
-        item = body.split()
         starts = np.flatnonzero(np.frombuffer(body, np.uint8)[:-1] == 32)
-        for _, _, first, last, low, high in rows.tolist():
+        merged: list[list[int]] = []  # bands overlap
+        for first, last, low, high in sorted(rows[:, 2:].tolist(), key=lambda r: r[2]):
+            if merged and low <= merged[-1][3]:
+                m = merged[-1]
+                merged[-1] = [min(m[0], first), max(m[1], last), m[2], max(m[3], high)]
+            else:
+                merged.append([first, last, low, high])
+        for first, last, low, high in merged:
             slack = self.q + int(self.shift[i]) + 1
             a = text.rfind(b" ", 0, max(first - slack, 0) + 1)
             b = text.find(b" ", min(last + self.q + slack, len(text) - 1))
@@ -132,44 +147,48 @@ class Index:
             own = np.flatnonzero(np.frombuffer(text[a:b], np.uint8) == 32)[: len(doc)] + a
             from_ = np.searchsorted(starts, own - high - self.shift[i], "right") - 1 - self.edits
             to = np.searchsorted(starts, own - low + self.shift[i], "right") + self.edits
-            got = align(doc, item, self.edits, from_.tolist(), to.tolist())
+            got = align(doc, len(starts), self.places(i), self.edits, from_.tolist(), to.tolist())
             exact = max(exact, got[2])
             if got[0] >= self.run and (best is None or (got[0], -got[1]) > (best[0], -best[1])):
                 best = (*got[:2], got[3] + before, got[4])
         return (*best[:2], exact, *best[2:]) if best else None
 
 
-def align(doc: list[bytes], item: list[bytes], edits: int, from_: list[int], to: list[int]) -> tuple[int, int, int, int, int]:
-    """Banded alignment of words: (words of the item, edits, longest run without edits, first word in `doc`, in `item`) of the longest one.
+def align(doc: list[bytes], n: int, places: dict[bytes, list[int]], edits: int, from_: list[int], to: list[int]) -> tuple[int, int, int, int, int]:
+    """Banded alignment of words with those of an item, of which there are `n`, by their `places`: (words of the item, edits, longest run without edits, first word in `doc`, in `item`) of the longest one.
 
     Word k of `doc` meets the words from_[k] to to[k] of the item. An alignment
     starts and ends with equal words and has at most `edits` changed, inserted or
     missing words in between.
     """
-    n = len(item)
     best, exact = (0, 0, -1, -1), 0
-    # per number of edits: length and first word of the alignment that ends at a word of the item
-    before = [[(0, -1)] * (n + 1) for _ in range(edits + 1)]
+    # per number of edits: the alignments that end at a word of the item, by length and first word; most words have none
+    before: list[dict[int, tuple[int, int]]] = [{} for _ in range(edits + 1)]
     for k, w in enumerate(doc):
-        now = [[(0, -1)] * (n + 1) for _ in range(edits + 1)]
-        for j in range(max(0, from_[k]), min(n, to[k] + 1)):
-            same = item[j] == w
-            for e in range(edits + 1):
-                v = (0, -1)
-                if same:
-                    size, at = before[e][j]
-                    v = (size + 1, at) if size else (1, k) if not e else v
-                    if v[0] > best[0]:
-                        best = (v[0], e, v[1], j - v[0] + 1)
-                    if not e and v[0] > exact:
-                        exact = v[0]
-                elif e:
-                    size, at = before[e - 1][j]  # a changed word
-                    v = (size + 1, at) if size else v
-                    v = max(v, before[e - 1][j + 1])  # an inserted word
-                    size, at = now[e - 1][j]  # a missing word
-                    v = max(v, (size + 1, at)) if size else v
-                now[e][j + 1] = v
+        hits = [j for j in places.get(w, ()) if from_[k] <= j <= to[k]]
+        now: list[dict[int, tuple[int, int]]] = []
+        for e in range(edits + 1):
+            own: dict[int, tuple[int, int]] = {}
+            for j in hits:
+                if at := before[e].get(j - 1):
+                    own[j] = (at[0] + 1, at[1])
+                elif not e:
+                    own[j] = (1, k)
+                else:
+                    continue
+                if own[j][0] > best[0]:
+                    best = (own[j][0], e, own[j][1], j - own[j][0] + 1)
+                if not e and own[j][0] > exact:
+                    exact = own[j][0]
+            if e:
+                for j, (size, at) in before[e - 1].items():
+                    for to_, v in ((j, (size, at)), (j + 1, (size + 1, at))):  # an inserted or a changed word
+                        if to_ < n and v > own.get(to_, (0, 0)):
+                            own[to_] = v
+                for j, (size, at) in now[e - 1].items():  # a missing word
+                    if j + 1 < n and (size + 1, at) > own.get(j + 1, (0, 0)):
+                        own[j + 1] = (size + 1, at)
+            now.append(own)
         before = now
     return best[0], best[1], exact, best[2], best[3]
 
