@@ -10,6 +10,7 @@ canonical value, which is joined back.
 from __future__ import annotations
 
 import functools
+import string
 import unicodedata
 from collections import Counter
 
@@ -32,15 +33,51 @@ _ARMENIAN_AS = "ounh"
 _HYPHENS = "‐‑﹣－"
 
 
+def confusables() -> dict[str, str]:
+    """Letters outside ASCII with the letter that Unicode's table of confusables gives for them, of the same case where ASCII has one.
+
+    The table is that of the ICU library, which Spark brings along. Digits,
+    punctuation and letters that look like several characters are left alone.
+    """
+    checker = SparkContext._active_spark_context._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    ascii_ = string.ascii_letters
+    letters = [c for c in map(chr, [*range(0xAA, 0xAC00), *range(0xF900, 0xFB00), *range(0x10280, 0x11A00), *range(0x16F00, 0x16FA0)]) if (c.isalpha() or unicodedata.category(c) == "Nl") and unicodedata.decomposition(c)[:1] in ("", "<")]
+    # one call for all: a line feed is its own skeleton and parts them
+    skeletons = checker.getSkeleton("\n".join([*ascii_, *letters])).split("\n")
+    plain: dict[tuple[str, str], str] = {}
+    for c, skeleton in zip(ascii_, skeletons, strict=False):
+        plain[skeleton, unicodedata.category(c)] = c
+        plain.setdefault((skeleton, ""), c)
+    out = {}
+    for c, skeleton in zip(letters, skeletons[len(ascii_) :], strict=True):
+        case = unicodedata.category(c)
+        to = plain.get((skeleton, case)) or (plain.get((skeleton, "")) if case not in ("Lu", "Ll") else None) or skeleton
+        if len(to) == 1 and to != c and to.isalpha():
+            out[c] = to
+    # composed letters go with their base; a base some of whose composed letters have no counterpart stays as it is
+    composed = [(c, d[0], d[1:]) for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0] in out]
+    for c, base, marks in composed:
+        to = unicodedata.normalize("NFC", out.get(base, base) + marks)
+        if len(to) == 1:
+            out[c] = to
+        else:
+            out.pop(base, None)
+    for c, base, _ in composed:
+        if base not in out:
+            out.pop(c, None)
+    return out
+
+
 @functools.cache
 def mapping() -> tuple[str, str, dict[str, str]]:
     """Characters to translate, their targets (those beyond are dropped), and ligatures with their letters.
 
     Built by rule from the Unicode database: wide, narrow, font and no-break
     variants, space separators, and format characters with the other default
-    ignorable ones.
+    ignorable ones; letters by Unicode's table of confusables, see `confusables`.
+    To be called where the session is, not inside a kernel.
     """
-    one: dict[str, str] = {}
+    one: dict[str, str] = confusables()
     gone: list[str] = ["͏", "ᅟ", "ᅠ", "ㅤ", "ﾠ", *map(chr, range(0xFE00, 0xFE10))]
     many: dict[str, str] = {}
     for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
@@ -100,33 +137,38 @@ def several(df: DataFrame, scope: list[str], value: str) -> DataFrame:
 
 
 class _Kinds(dict):
-    """Of a character: 0 for none of these, 1 to 4 for a letter of Latin, Cyrillic, Greek or Armenian, 5 for one with a plain look-alike."""
+    """Of a character: its script if it is a letter, `odd` if it is another form of a plain character, else ''."""
 
-    def __init__(self) -> None:
-        src, _, many = mapping()
-        super().__init__(dict.fromkeys(set(src) - set(_CYRILLIC + _GREEK + _ARMENIAN + "\t") | set(many), 5))
+    def __init__(self, odd: frozenset[str]) -> None:
+        super().__init__(dict.fromkeys(odd, "odd"))
 
-    def __missing__(self, c: str) -> int:
-        name = unicodedata.name(c, "") if c.isalpha() else ""
-        self[c] = out = next((i for i, s in enumerate(("LATIN", "CYRILLIC", "GREEK", "ARMENIAN"), 1) if name.startswith(s)), 0)
+    def __missing__(self, c: str) -> str:
+        self[c] = out = unicodedata.name(c, "").partition(" ")[0] if c.isalpha() else ""
         return out
 
 
-@F.pandas_udf(StructType([StructField("nfc", StringType()), StructField("nfd", StringType()), StructField("odd", IntegerType())]))
-def _forms(s: pd.Series) -> pd.DataFrame:
+def _forms():
     """Composed and decomposed form, and the number of odd characters and of letters outside the main script."""
-    kinds = _Kinds()
+    src, _, many = mapping()
+    odd = frozenset(c for c in {*src, *many} if c != "\t" and (not c.isalpha() or unicodedata.decomposition(c)))
+
+    @F.pandas_udf(StructType([StructField("nfc", StringType()), StructField("nfd", StringType()), StructField("odd", IntegerType())]))
+    def forms(s: pd.Series) -> pd.DataFrame:
+        kinds = _Kinds(odd)
+
+        def one(v: str | None):
+            if v is None:
+                return None, None, None
+            c = unicodedata.normalize("NFC", v)
+            n: Counter = Counter()
+            for x, k in Counter(c).items():
+                n[kinds[x]] += k
+            scripts = [k for script, k in n.items() if script not in ("", "odd")]
+            return c, unicodedata.normalize("NFD", v), n["odd"] + sum(scripts) - max(scripts, default=0)
 
-    def one(v: str | None):
-        if v is None:
-            return None, None, None
-        c = unicodedata.normalize("NFC", v)
-        n = [0] * 6
-        for x, k in Counter(c).items():
-            n[kinds[x]] += k
-        return c, unicodedata.normalize("NFD", v), n[5] + sum(n[1:5]) - max(n[1:5])
+        return pd.DataFrame([one(v) for v in s], columns=["nfc", "nfd", "odd"])
 
-    return pd.DataFrame([one(v) for v in s], columns=["nfc", "nfd", "odd"])
+    return forms
 
 
 def _collation_key(c: Column) -> Column:
@@ -146,7 +188,7 @@ def canonicalise(df: DataFrame, value: str, scope: list[str]) -> DataFrame:
     """
     other = F.col(value).rlike(r"[^\x00-\x7F]")
     rest = [c for c in df.columns if c != value]
-    x = df.withColumn("__nl_f", F.when(other, _forms(F.when(other, F.col(value)))))
+    x = df.withColumn("__nl_f", F.when(other, _forms()(F.when(other, F.col(value)))))
     x = staged(x, {"__nl_v": F.coalesce("__nl_f.nfc", value), "__nl_d": F.coalesce("__nl_f.nfd", value), "__nl_odd": F.coalesce("__nl_f.odd", F.lit(0))})
     x = staged(x.select(*[F.col(f"`{c}`") for c in rest], "__nl_v", "__nl_d", "__nl_odd"), {"__nl_k": look(F.col("__nl_d"))})
     x = stored(x.select(*[F.col(f"`{c}`") for c in rest], F.col("__nl_v"), F.sha2("__nl_v", 256).alias("__nl_h"), F.sha2(_collation_key(F.col("__nl_k")), 256).alias("__nl_c"), F.struct("__nl_odd", F.col("__nl_d") != F.col("__nl_k")).alias("__nl_rank")))

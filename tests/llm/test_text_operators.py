@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 import unicodedata
 
 import numpy as np
@@ -127,6 +128,16 @@ def test_canonical_over_all_values(spark):
     assert got[10] == "Creme brulee" and got[11] == "  two  blanks " and got[12] is None and got[13] == "Mocква и область" and got[14] == ""
 
 
+def test_confusables(spark):
+    """Letters of Unicode's table stand for those that they look like; case, accents and digits stay apart."""
+    pairs = {"\u0251": "a", "\u0131": "i", "\u13aa": "A", "\u2c9f": "o", "\u0406": "I", "\ua4f3": "O", "\u0501": "d", "\u217f": "m"}
+    keys = {r["v"]: r["k"] for r in table(spark, [(v,) for v in [*pairs, *string.ascii_letters, *string.digits, "é", "ø", "ł", "1", "ж"]], "v string").select("v", lookalike.look(F.col("v")).alias("k")).collect()}
+    assert {c: keys[c] for c in pairs} == pairs
+    both = table(spark, [("k", i, v) for i, v in enumerate(["й Ё ѐ ά", unicodedata.normalize("NFD", "й Ё ѐ ά")])], "k string, row_id long, value string")
+    assert lookalike.lookalike_pairs(both, ["k"], "row_id", "value").count() == 1
+    assert all(keys[c] == c for c in [*string.ascii_letters, *string.digits, "é", "ø", "ł", "ж"])
+
+
 # ---- 4 -------------------------------------------------------------------------------------
 def test_repeated_lines(spark):
     rng = random.Random(2)
