@@ -122,7 +122,7 @@ def classes(df: DataFrame, scope: list[str], value: str) -> DataFrame:
     formed = distinct.withColumn("__nl_k", look(F.col("__nl_v")))
     key = F.collate("__nl_k", "UNICODE")
     best = formed.groupBy(*scope, key.alias("__nl_c")).agg(F.min(F.struct((F.col("__nl_v") != F.col("__nl_k")).alias("odd"), F.col("__nl_v").alias("v"))).alias("__nl_m"), F.count(F.lit(1)).alias("n_values"))
-    names = [f"__nl_{s}" for s in scope]
+    names = [f"__nl_scope_{s}" for s in scope]
     best = best.select(*[F.col(s).alias(n) for s, n in zip(scope, names, strict=True)], "__nl_c", F.col("__nl_m.v").alias("canonical"), "n_values")
     on = functools.reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(n)) for s, n in zip(scope, names, strict=True)], key == F.col("__nl_c"))
     return formed.join(best, on).select(*scope, "__nl_h", F.sha2("canonical", 256).alias("__nl_class"), "canonical", "n_values")
@@ -192,7 +192,7 @@ def canonicalise(df: DataFrame, value: str, scope: list[str]) -> DataFrame:
     x = staged(x, {"__nl_v": F.coalesce("__nl_f.nfc", value), "__nl_d": F.coalesce("__nl_f.nfd", value), "__nl_odd": F.coalesce("__nl_f.odd", F.lit(0))})
     x = staged(x.select(*[F.col(f"`{c}`") for c in rest], "__nl_v", "__nl_d", "__nl_odd"), {"__nl_k": look(F.col("__nl_d"))})
     x = stored(x.select(*[F.col(f"`{c}`") for c in rest], F.col("__nl_v"), F.sha2("__nl_v", 256).alias("__nl_h"), F.sha2(_collation_key(F.col("__nl_k")), 256).alias("__nl_c"), F.struct("__nl_odd", F.col("__nl_d") != F.col("__nl_k")).alias("__nl_rank")))
-    names = [f"__nl_{s}" for s in scope]
+    names = [f"__nl_scope_{s}" for s in scope]
     keys = [*[F.col(s).alias(n) for s, n in zip(scope, names, strict=True)], F.col("__nl_c").alias("__nl_c2")]
     on = functools.reduce(lambda a, b: a & b, [*[F.col(s).eqNullSafe(F.col(n)) for s, n in zip(scope, names, strict=True)], F.col("__nl_c") == F.col("__nl_c2")])
     best = x.where("__nl_h is not null").groupBy(*keys).agg(F.min(F.struct("__nl_rank", "__nl_h"))["__nl_h"].alias("__nl_m"), F.min("__nl_h").alias("a"), F.max("__nl_h").alias("b"))
