@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-#: Above this many rows a side is never broadcast by hand; Catalyst chooses the join instead.
-BROADCAST_ROWS = 500_000
+#: Above this many rows or bytes a side is never broadcast by hand; Catalyst chooses the join instead.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 #: Unicode-aware strip: Java's \s and SQL's trim() know ASCII blanks only.
 EDGE_BLANKS = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+\z"
@@ -48,16 +50,47 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like `cut`, but as a columnar Parquet table: later reads can prune its columns."""
-    path = os.path.join(shared_dir(df.sparkSession), f"newsloom-{uuid.uuid4().hex}")
+    """Like `cut`, but as a columnar Parquet table: later reads can prune its columns. It is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"newsloom-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _temporary_tables.append((spark, path))
+    return spark.read.parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` materialised, with a broadcast hint only if it has at most `most` rows."""
+_temporary_tables: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_temporary_tables() -> None:
+    """Delete the tables of `stored`; a long-lived driver can call this when no result of theirs is needed any more."""
+    while _temporary_tables:
+        spark, path = _temporary_tables.pop()
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the session may be gone; its folder is then its owner's to clear
+            continue
+
+
+def _bytes(c: Column, kind: S.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, S.StringType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, S.ArrayType):
+        each = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType)) if isinstance(kind.elementType, S.StringType) else F.size(c) * (8 * max(1, len(getattr(kind.elementType, "fields", [0]))))
+        return F.coalesce(each, F.lit(0)) + 8
+    if isinstance(kind, S.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` materialised, with a broadcast hint only if it is seen to have at most `most` rows and `most_bytes` bytes."""
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, held = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(kept) if n <= most and held <= most_bytes else kept
 
 
 def strip(c: Column) -> Column:

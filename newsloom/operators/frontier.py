@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from newsloom.common import strip
 from newsloom.functions.urls import url_hash, validate_url
 
+log = logging.getLogger("newsloom")
+
 
 def union_sources(*sources: tuple[str, DataFrame]) -> DataFrame:
     """DED-08: (url, seq, priority, discovered_via) of several sources (url, seq) in the order given."""
@@ -55,10 +58,14 @@ def mark_seen(df: DataFrame, path: str, key: str = "article_id") -> None:
 
 
 def load_seen(spark, path: str, key: str = "article_id") -> DataFrame:
-    """SRC-13: the seen table; one that is missing or unreadable is empty."""
+    """SRC-13: the seen table; one that is missing is empty, one without the column too, with a warning; other errors end the run."""
+    from pyspark.errors import AnalysisException
+
     try:
         return spark.read.parquet(path).select(key)
-    except Exception:  # noqa: BLE001  a missing table is an empty one
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            log.warning("the seen set at %s cannot be read and counts as empty: %s", path, e.getCondition())
         return spark.createDataFrame([], f"{key} string")
 
 

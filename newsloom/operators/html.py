@@ -53,5 +53,5 @@ def extract(df: DataFrame, source: str, query: str | None, as_of: dt.datetime |
     final = F.coalesce("final_url", "url")
     x = x.withColumn("__nl_dates", parse_dates(F.col("dates"), as_of))  # a stage of its own, as functions of arrays cannot hold Python's result
     x = x.withColumns({"source_url": F.when(F.col("url") != final, F.col("url")), "published_at": F.get(F.filter("__nl_dates", lambda t: t.isNotNull()), F.lit(0))}).drop("__nl_dates")
-    x = x.withColumns({"article_id": url_hash(final), "url": final, "source": F.lit(source), "search_query": F.lit(query), "tags": F.array().cast("array<string>"), "status": F.lit("raw")})
+    x = x.withColumns({"article_id": url_hash(final), "url": final, "source": F.lit(source), "search_query": F.lit(query).cast("string"), "tags": F.array().cast("array<string>"), "status": F.lit("raw")})
     return x.drop("dates", "final_url", "error")

@@ -91,7 +91,7 @@ def parse_fields(df: DataFrame, value: str, order: str) -> DataFrame:
     month = {w: i + 1 for names in MONTHS.values() for i, ws in enumerate(names) for w in ws.split()}
     lookup = F.create_map(*[F.lit(x) for kv in month.items() for x in kv])
     v = F.regexp_replace(strip(F.col(value)), r"[\s\p{Z}]+", " ")
-    out = staged(df, {"__nl_v": F.when(F.length(value) <= 200, v)})
+    out = staged(df, {"__nl_v": v})
     v = F.col("__nl_v")
     parts = F.lit(None).cast("string")
     for pattern, to in reversed(_NOTATIONS):
@@ -115,9 +115,13 @@ def parse_fields(df: DataFrame, value: str, order: str) -> DataFrame:
     return out.select(*df.columns, "__nl_epoch", "__nl_local", "__nl_zone", "__nl_year")
 
 
-def to_utc(df: DataFrame, value: str, zone: str, order: str, out: str = "epoch_us") -> DataFrame:
+def to_utc(df: DataFrame, value: str, zone: str, order: str, out: str = "epoch_us", kind: str | None = None) -> DataFrame:
     """Add column `out`: microseconds since 1970 of the UTC instant that `value` states, else null.
 
+    With `kind`, a column of that name says how it was found: `offset` (stated by
+    the value), or by the number of intervals that match the local time, `unique`,
+    `ambiguous` (two, the earlier instant is taken) or `skipped` (none).
+
     Null, blank, relative and impossible values give null. `zone` holds the row's
     IANA zone (null or unknown: UTC), `order` its `dmy` or `mdy`. An ambiguous
     local time is the earlier instant, a skipped one is read with the offset
@@ -127,7 +131,7 @@ def to_utc(df: DataFrame, value: str, zone: str, order: str, out: str = "epoch_u
     zone database has, which bounds the broadcast interval table.
     """
     spark = df.sparkSession
-    df = df.drop(out)
+    df = df.drop(out, *([kind] if kind else []))
     x = parse_fields(df, value, order)
     z = F.col("__nl_zone")
     sign = F.when(F.regexp_extract(z, r"([+\-−])", 1) == "+", 1).otherwise(-1)
@@ -159,12 +163,22 @@ def to_utc(df: DataFrame, value: str, zone: str, order: str, out: str = "epoch_u
     # a zone that no database knows: an own one makes the value no date, the row's counts as UTC
     strange = F.coalesce(F.col("__nl_zone").contains("/"), F.lit(False)) & F.col("__nl_jz").isNull()
     off = F.when(~strange, F.coalesce(off, F.lit(0)))
-    return staged(x, {out: F.coalesce(F.col("__nl_epoch"), F.col("__nl_local") - off.cast("bigint") * 1000000)}).select(*df.columns, out)
+    cols = {out: F.coalesce(F.col("__nl_epoch"), F.col("__nl_local") - off.cast("bigint") * 1000000)}
+    if kind:
+        stated = F.coalesce("__nl_off", F.try_element_at("__nl_abbrs", "__nl_abbr")).isNotNull() | F.col("__nl_epoch").isNotNull()
+        n = F.coalesce(F.size("__nl_hit"), F.lit(1))
+        cols[kind] = F.when(cols[out].isNull(), None).when(stated, "offset").when(F.col("__nl_jz").isNull() | (n == 1), "unique").when(n == 0, "skipped").otherwise("ambiguous")
+    return staged(x, cols).select(*df.columns, *cols)
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
     """Every `published_at` of both tables that states a date, as UTC microseconds."""
+    return p6_kinds(spark, sf_dir).select("table_name", "row_id", "epoch_us")
+
+
+def p6_kinds(spark, sf_dir: str) -> DataFrame:
+    """The same with `kind`: whether the offset was stated, or the local time unique, ambiguous or skipped."""
     sites = table(spark, sf_dir, "sites")
     a = with_site(table(spark, sf_dir, "articles").select(F.lit("articles").alias("table_name"), "row_id", "url", "published_at"), sites, "url", ["tz_name", "date_order"])
     b = with_site(table(spark, sf_dir, "newsapi_articles").select(F.lit("newsapi_articles").alias("table_name"), F.col("api_row_id").alias("row_id"), "url", "source_name", "published_at"), sites, "url", ["tz_name", "date_order"], name="source_name").drop("source_name")
-    return to_utc(a.unionByName(b), "published_at", "tz_name", "date_order").where("epoch_us is not null").select("table_name", "row_id", "epoch_us")
+    return to_utc(a.unionByName(b), "published_at", "tz_name", "date_order", kind="kind").where("epoch_us is not null").select("table_name", "row_id", "epoch_us", "kind")

@@ -19,8 +19,16 @@ from newsloom.sources import search as R
 log = logging.getLogger("newsloom")
 
 
-def collect(spark: SparkSession, args, settings: Settings) -> DataFrame:
-    """The accepted frontier of the direct URLs, the search results and the API articles, in this priority."""
+def answered(rows: DataFrame, what: str) -> DataFrame:
+    """PIP-09: the rows of a source without error; the keywords that failed are logged."""
+    rows = rows.persist()
+    for r in rows.where("error is not null").select("query", "error").toLocalIterator():
+        log.warning("%s failed for %r: %s", what, r["query"], r["error"])
+    return rows.where("error is null")
+
+
+def collect(spark: SparkSession, args, settings: Settings, seen: DataFrame | None = None) -> DataFrame:
+    """The accepted frontier of the direct URLs, the search results and the API articles, in this priority, without those in `seen`."""
     R.register(spark)
     parts: list[tuple[str, DataFrame]] = []
     if args.urls:
@@ -28,8 +36,9 @@ def collect(spark: SparkSession, args, settings: Settings) -> DataFrame:
     words = "\n".join(args.keywords or [])
     if args.ddg and words:
         r = spark.read.format("newsloom_search").option("keywords", words).option("max_results", args.max_results or settings.search_max_results)
-        found = r.option("transport", getattr(args, "search_transport", None) or "newsloom.plans.orchestrate:no_search").load()
-        kept = S.filter_results(found.where("error is null").select("query", "url", "rank", "snippet"), order=["query", "rank"])
+        for name, value in (("transport", getattr(args, "search_transport", None)), ("path", getattr(args, "search_table", None)), ("region", settings.search_region), ("safesearch", settings.search_safesearch)):
+            r = r.option(name, value) if value else r
+        kept = S.filter_results(answered(r.load(), "search").select("query", "url", "rank", "snippet"), order=["query", "rank"])
         parts.append(("search", kept.select("url", F.col("rank").cast("bigint").alias("seq"))))
     key = args.newsapi_key or settings.newsapi_key
     if args.newsapi and words and not key:
@@ -38,18 +47,11 @@ def collect(spark: SparkSession, args, settings: Settings) -> DataFrame:
         r = spark.read.format("newsloom_api").option("keywords", words).option("key", key).option("language", args.lang)
         for name, value in (("sources", ",".join(args.sources or [])), ("from", args.from_date), ("to", args.to_date), ("transport", getattr(args, "api_transport", None))):
             r = r.option(name, value) if value else r
-        rows = R.api_articles(r.load().where("error is null").select("query", "payload"))
+        rows = R.api_articles(answered(r.load(), "the news API").select("query", "payload"))
         parts.append(("newsapi", rows.select("url", F.xxhash64("query", "url").alias("seq"))))
     if not parts:
         return spark.createDataFrame([], "url string, seq long, priority int, discovered_via string, article_id string")
-    return D.accepted(D.union_sources(*parts))
-
-
-def no_search():
-    def hits(query: str, most: int, region: str, safesearch: str):
-        raise OSError("no search transport is set")
-
-    return hits
+    return D.accepted(D.union_sources(*parts), seen)
 
 
 def call_each(cleaned: DataFrame, on_article: Callable[[Row], object]) -> None:
@@ -62,27 +64,37 @@ def call_each(cleaned: DataFrame, on_article: Callable[[Row], object]) -> None:
 
 
 def run(spark: SparkSession, args, settings: Settings, on_article: Callable[[Row], object] | None = None) -> dict:
-    """Counts of one run, after its outputs (cleaned, failed, exports) are written below `args.out`; `on_article` gets each cleaned row."""
+    """Counts of one run, after its outputs (raw, cleaned, failed, exports, seen) are written below `args.out`; `on_article` gets each cleaned row.
+
+    The raw copy is written before validation, the cleaned articles are upserted
+    in full, and with `args.seen` URLs of earlier runs are not fetched again.
+    """
+    out = args.out
     with Timer() as t:
-        found = collect(spark, args, settings).persist()
+        seen = D.load_seen(spark, f"{out}/seen") if getattr(args, "seen", False) else None
+        found = collect(spark, args, settings, seen).persist()
         fetcher = fetch.TableFetcher(spark.read.parquet(args.pages)) if args.pages else fetch.HttpFetcher(partitions=args.workers, attempts=settings.max_retries)
         label = ", ".join((args.keywords or [])[:3]) or None
-        tagged = pipeline.run(found, fetcher.fetch(found), args.min_body, args.lang, "duckduckgo" if args.ddg else "direct", label).persist()
+        raw = pipeline.extracted(found, fetcher.fetch(found), "duckduckgo" if args.ddg else "direct", label)
+        raw = raw.withColumns({"scraped_at": F.current_timestamp(), "processing_time_ms": F.lit(None).cast("double")}).persist()
+        tagged = pipeline.tag(raw, args.min_body, args.lang).persist()
         stats = pipeline.stats(tagged).first().asDict()
         stats["errors"] = [r[0] for r in tagged.where("outcome = 'extract_failed'").select("reason").orderBy("url").limit(5).collect()]
         name = sinks.run_name()
         if stats["total"]:
-            articles = tagged.withColumns({"scraped_at": F.current_timestamp(), "processing_time_ms": F.lit(None).cast("double"), "error_message": F.lit(None).cast("string")}).drop("_ok", "_error")
-            cleaned = articles.where("outcome = 'cleaned'").withColumn("status", F.lit("cleaned")).drop("outcome", "reason", "lang")
+            sinks.write_raw(raw.where("_ok").drop("_ok", "_error"), f"{out}/raw")
+            cleaned = tagged.where("outcome = 'cleaned'").withColumns({"status": F.lit("cleaned"), "error_message": F.lit(None).cast("string")}).drop("outcome", "reason", "lang", "_ok", "_error")
             if on_article:
                 call_each(cleaned, on_article)
-            sinks.write_keyed(sinks.latest(cleaned.drop("metadata", "images", "tags"), "article_id", ["scraped_at", "url"]), f"{args.out}/cleaned")
-            sinks.failed(tagged).write.mode("append").json(f"{args.out}/failed")
             if stats["successful"]:
-                sinks.write_csv(cleaned, f"{args.out}/exports/{name}.csv")
-                sinks.write_jsonl(cleaned, f"{args.out}/exports/{name}.jsonl")
-        tagged.unpersist()
-        found.unpersist()
+                stats |= {k: v for k, v in sinks.write_keyed(cleaned, f"{out}/cleaned", "article_id", ["scraped_at", "url"]).first().asDict().items() if k != "n"}
+                sinks.write_csv(cleaned, f"{out}/exports/{name}.csv")
+                sinks.write_jsonl(cleaned, f"{out}/exports/{name}.jsonl")
+            sinks.failed(tagged).write.mode("append").json(f"{out}/failed")
+            if seen is not None:
+                D.mark_seen(found, f"{out}/seen")
+        for x in (tagged, raw, found):
+            x.unpersist()
     return stats | {"elapsed_seconds": round(t.elapsed_ms / 1000, 1)}
 
 

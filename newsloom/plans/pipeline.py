@@ -53,9 +53,9 @@ def tag(df: DataFrame, least: int = 200, lang: str | None = None, detect: Callab
 
 
 def stats(tagged: DataFrame) -> DataFrame:
-    """PIP-07: one row of counts; `failed` includes rows dropped for their language, repeats are `skipped_duplicates_actual` where told."""
+    """PIP-07: one row of counts; `failed` includes rows dropped for their language, `errors` are those with a reason."""
     n = lambda *o: F.count_if(F.col("outcome").isin(*o))
-    return tagged.agg(F.count(F.lit(1)).alias("total"), n("cleaned").alias("successful"), n(*OUTCOMES[1:]).alias("failed"), n("cleaned").alias("saved"), F.lit(0).cast("bigint").alias("skipped_duplicates"))
+    return tagged.agg(F.count(F.lit(1)).alias("total"), n("cleaned").alias("successful"), n(*OUTCOMES[1:]).alias("failed"), n("cleaned").alias("saved"), F.lit(0).cast("bigint").alias("skipped_duplicates"), F.count("reason").alias("errors"))
 
 
 def run(frontier: DataFrame, pages: DataFrame, least: int = 200, lang: str | None = None, source: str = "direct", query: str | None = None) -> DataFrame:
@@ -64,9 +64,14 @@ def run(frontier: DataFrame, pages: DataFrame, least: int = 200, lang: str | Non
     One plan: the join prunes the pages, one Arrow kernel reads them, the rest is
     built-in expressions. Persist it before writing several outputs of it.
     """
+    return tag(extracted(frontier, pages, source, query), least, lang)
+
+
+def extracted(frontier: DataFrame, pages: DataFrame, source: str = "direct", query: str | None = None) -> DataFrame:
+    """The articles of the frontier's URLs as read from their pages, before validation."""
     p = pages.select(F.col("url").alias("__nl_url"), "html", *[F.col(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in ("final_url", "error")])
     x = frontier.select("url").join(p, F.col("url") == F.col("__nl_url"), "left").drop("__nl_url")
-    return tag(H.extract(x, source, query), least, lang)
+    return H.extract(x, source, query)
 
 
 def _scraped(spark, d) -> DataFrame:
@@ -118,7 +123,7 @@ def oracles(normal: Callable[[str], str], strip: Callable[[str], str], title: st
     return {
         "validity_filter": f"select row_id from articles where {valid} and ({some('body')} or {some('snippet')}) and {some('url')}",
         "pipeline_outcomes": f"select row_id, {outcome} as outcome, case {outcome} when 'extract_failed' then coalesce(error_message, 'Unknown error') when 'insufficient' then 'Insufficient content' end as reason from articles",
-        "pipeline_stats": f"select count(*) as total, count(*) filter ({outcome} = 'cleaned') as successful, count(*) filter ({outcome} <> 'cleaned') as failed, count(*) filter ({outcome} = 'cleaned') as saved, 0 as skipped_duplicates from articles",
+        "pipeline_stats": f"select count(*) as total, count(*) filter ({outcome} = 'cleaned') as successful, count(*) filter ({outcome} <> 'cleaned') as failed, count(*) filter ({outcome} = 'cleaned') as saved, 0 as skipped_duplicates, count(*) filter ({outcome} <> 'cleaned') as errors from articles",
     }
 
 

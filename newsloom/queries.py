@@ -11,7 +11,7 @@ from newsloom.functions import urls as U
 from newsloom.functions import values as V
 from newsloom.operators import frontier as D
 from newsloom.operators import search as S
-from newsloom.operators.timestamps import p6_found
+from newsloom.operators.timestamps import p6_found, p6_kinds
 from newsloom.plans import pipeline as P
 from newsloom.sources import sinks as K
 
@@ -174,7 +174,7 @@ def content_digests(spark, d) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p6_found, url_validate, url_normalize, url_hash, url_domain_key, frontier_dedup, frontier_outcomes, seen_antijoin, seen_count, search_dedup, search_filter, search_topk, keyword_sanitize, build_query,
+        p6_found, p6_kinds, url_validate, url_normalize, url_hash, url_domain_key, frontier_dedup, frontier_outcomes, seen_antijoin, seen_count, search_dedup, search_filter, search_topk, keyword_sanitize, build_query,
         source_semi, source_unknown, source_catalogue, content_hash_dups, text_replace, text_nfc, boilerplate_lines, dedup_lines, clean_text, clean_title, clean_snippet, word_count, language_guess, is_recent,
         date_range, json_props, keyword_arrays, keyword_split, content_digests,
         P.validity_filter, P.language_filter, P.pipeline_outcomes, P.pipeline_stats, P.html_articles, P.flagship, K.csv_flatten, K.upsert_latest, K.upsert_counts, K.failed_records, K.jsonl_rows,

@@ -7,9 +7,13 @@ known. Each keyword is one input partition. The transport is a factory,
 
 from __future__ import annotations
 
+import datetime as dt
 import importlib
+import inspect
 import json
+import logging
 import time
+import unicodedata
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -25,6 +29,8 @@ from newsloom.schemas import API_RAW
 
 API_URL = "https://newsapi.org/v2/"
 MAX_PAGE_SIZE = 100
+SEARCH_URL = "https://html.duckduckgo.com/html/"
+log = logging.getLogger("newsloom")
 
 
 class ApiError(Exception):
@@ -50,13 +56,35 @@ def top_headline_params(query=None, sources=None, category=None, country=None, l
 
 
 def search_params(query, sources=None, language="en", from_date=None, to_date=None, sort_by="publishedAt", page_size=20, page=1) -> dict:
-    """SRC-07: a blank query is an error; dates are given on as ISO dates."""
+    """SRC-07: a blank query is an error; dates are given on in ISO form, unreadable ones left out."""
     if not (query or "").strip():
         raise ValueError("Query cannot be empty.")
     out = {"q": query.strip(), "language": language, "sortBy": sort_by, "pageSize": min(page_size, MAX_PAGE_SIZE), "page": page}
     if sources:
         out["sources"] = ",".join(sources)
-    return out | {k: v for k, v in (("from", from_date), ("to", to_date)) if v}
+    return out | {k: iso for k, v in (("from", from_date), ("to", to_date)) if (iso := iso_instant(v))}
+
+
+def iso_instant(text: str | None) -> str | None:
+    """A date in text as ISO 8601 with offset, naive ones as UTC; None if it is none. The fuzzy parser is used where it is installed."""
+    if not (text or "").strip():
+        return None
+    try:
+        d = dt.datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
+    except ValueError:
+        try:
+            from dateutil import parser
+
+            d = parser.parse(text, fuzzy=True)
+        except (ImportError, ValueError, OverflowError):
+            log.warning("no date in %r; left out", text)
+            return None
+    return (d if d.tzinfo else d.replace(tzinfo=dt.UTC)).isoformat()
+
+
+def source_params(category=None, language=None, country=None) -> dict:
+    """SRC-09: the filters of the catalogue of sources."""
+    return {k: v for k, v in (("category", category), ("language", language), ("country", country)) if v}
 
 
 def http_get(key: str, timeout: int = 30) -> Callable[[str, dict], tuple[int, str]]:
@@ -120,9 +148,57 @@ def catalogue(payloads: DataFrame, category=None, language=None, country=None, c
     return x
 
 
-def _load(path: str):
+def _load(path: str, options: dict):
+    """What the factory `module:function` makes, from the options of the reader if it takes any."""
     module, _, name = path.partition(":")
-    return getattr(importlib.import_module(module), name)
+    factory = getattr(importlib.import_module(module), name)
+    return factory(options) if inspect.signature(factory).parameters else factory()
+
+
+def web_search(options: dict):
+    """A transport over HTTP: the result pages of a search engine's plain HTML interface, until enough hits are read."""
+    from newsloom.sources.fetch import HEADERS
+
+    def hits(query: str, most: int, region: str, safesearch: str) -> Iterator[dict]:
+        found = 0
+        while found < most:
+            form = {"q": query, "kl": region, "kp": {"strict": "1", "off": "-2"}.get(safesearch, "-1"), "s": found}
+            req = urllib.request.Request(SEARCH_URL, urllib.parse.urlencode(form).encode(), HEADERS)
+            with urllib.request.urlopen(req, timeout=int(options.get("timeout") or 30)) as r:
+                page = result_page(r.read().decode(errors="replace"))
+            if not page:
+                return
+            yield from page
+            found += len(page)
+
+    return hits
+
+
+def result_page(html: str) -> list[dict]:
+    """The hits (href, title, body) of one result page; links through a redirect are taken apart."""
+    from newsloom.operators import dom
+
+    out: list[dict] = []
+    for n in dom.parse(html).walk():
+        kinds = n.get("class").split()
+        if n.tag == "a" and "result__a" in kinds:
+            target = urllib.parse.parse_qs(urllib.parse.urlsplit(n.get("href")).query).get("uddg")
+            out.append({"href": target[0] if target else n.get("href"), "title": " ".join(t.strip() for _, t in n.strings()).strip(), "body": ""})
+        elif "result__snippet" in kinds and out and not out[-1]["body"]:
+            out[-1]["body"] = " ".join("".join(t for _, t in n.strings()).split())
+    return out
+
+
+def replay(options: dict):
+    """A transport without network: hits from a Parquet table (query, url, title, snippet, rank) at the option `path`, by rank."""
+    import pyarrow.dataset as ds
+
+    def hits(query: str, most: int, region: str, safesearch: str) -> Iterator[dict]:
+        rows = ds.dataset(options["path"].removeprefix("file://")).to_table(columns=["url", "title", "snippet", "rank"], filter=ds.field("query") == query).to_pylist()
+        rows.sort(key=lambda r: (r["rank"] is None, r["rank"] or 0, r["url"] or "", r["title"] or "", r["snippet"] or ""))
+        return ({"href": r["url"], "title": r["title"], "body": r["snippet"]} for r in rows)
+
+    return hits
 
 
 class _Keyword(InputPartition):
@@ -140,10 +216,12 @@ class _Reader(DataSourceReader):
 
 
 class SearchSource(DataSource):
-    """SRC-02, SRC-03: options `keywords` (one a line), `transport`, `max_results`, `page_size`, `pages`, `region`, `safesearch`, `delay`.
+    """SRC-02, SRC-03: options `keywords` (one a line), `transport`, `max_results`, `page_size`, `pages`, `region`, `safesearch`, `delay`, `site`, `exclude` (terms parted by blanks).
 
-    The transport makes a function of (query, most, region, safesearch) to an
-    iterable of hits with href, title and body. 0 means the default.
+    Each keyword is sanitised and becomes a query with the site and the excluded
+    terms. The transport (`web_search` by default) makes a function of (query,
+    most, region, safesearch) to an iterable of hits with href, title and body. 0
+    means the default.
     """
 
     @classmethod
@@ -165,11 +243,11 @@ class SearchReader(_Reader):
         most = min(number("max_results", 50), size * pages)
         if not partition.keyword:
             return
-        hits = _load(o["transport"])()
+        hits = _load(o.get("transport") or "newsloom.sources.search:web_search", o)
         seen: set[str] = set()
         taken = 0
         try:
-            for rank, hit in enumerate(hits(partition.keyword, most, o.get("region", "wt-wt"), o.get("safesearch", "moderate")), 1):
+            for rank, hit in enumerate(hits(query_text(partition.keyword, o.get("site"), (o.get("exclude") or "").split()), most, o.get("region", "wt-wt"), o.get("safesearch", "moderate")), 1):
                 url = (hit.get("href") or "").strip()
                 if not url or url in seen:
                     continue
@@ -184,8 +262,15 @@ class SearchReader(_Reader):
             yield partition.keyword, None, None, None, "duckduckgo", None, str(e)
 
 
+def query_text(keyword: str, site: str | None = None, exclude: list[str] | None = None) -> str:
+    """QRY-01 and QRY-02 for the readers, which have no columns: as `operators.search` has them."""
+    kept = "".join(c for c in keyword if c.isalnum() or unicodedata.category(c) == "Mn" or c in "_-'" or c.isspace())
+    term = " ".join(t for x in kept.split() if (t := x.strip("-")))
+    return " ".join([term, *([f"site:{site.strip()}"] if site else []), *(f"-{t}" for x in exclude or [] if (t := x.strip().lstrip("-")))])
+
+
 class ApiSource(DataSource):
-    """Options as `search_params` has them, `keywords` (one a line), and `transport` for (endpoint, params) -> (status, text)."""
+    """SRC-04 to SRC-07, SRC-09: options `endpoint` (`everything`, `top-headlines` or `sources`), `keywords` (one a line, optional but for `everything`), `transport` for (endpoint, params) -> (status, text), and the parameters of the endpoint."""
 
     @classmethod
     def name(cls) -> str:
@@ -201,10 +286,18 @@ class ApiSource(DataSource):
 class ApiReader(_Reader):
     def read(self, partition) -> Iterator[tuple]:
         o = self.options
-        get = _load(o["transport"])() if "transport" in o else http_get(o.get("key", ""))
+        get = _load(o["transport"], o) if o.get("transport") else http_get(o.get("key", ""))
+        endpoint = o.get("endpoint") or "everything"
+        sources = [s for s in o.get("sources", "").split(",") if s]
+        pages = {"page_size": int(o.get("page_size", 20)), "page": int(o.get("page", 1))}
         try:
-            params = search_params(partition.keyword, [s for s in o.get("sources", "").split(",") if s], o.get("language", "en"), o.get("from"), o.get("to"), o.get("sort_by", "publishedAt"), int(o.get("page_size", 20)), int(o.get("page", 1)))
-            data = api_get(get, "everything", params, int(o.get("attempts", 3)), float(o.get("backoff", 2.0)))
+            if endpoint == "sources":
+                params = source_params(o.get("category"), o.get("language"), o.get("country"))
+            elif endpoint == "top-headlines":
+                params = top_headline_params(partition.keyword, sources, o.get("category"), o.get("country"), o.get("language", "en"), **pages)
+            else:
+                params = search_params(partition.keyword, sources, o.get("language", "en"), o.get("from"), o.get("to"), o.get("sort_by", "publishedAt"), **pages)
+            data = api_get(get, endpoint, params, int(o.get("attempts", 3)), float(o.get("backoff", 2.0)))
             yield partition.keyword, json.dumps(data), None
         except (ApiError, ValueError) as e:
             yield partition.keyword, None, str(e)

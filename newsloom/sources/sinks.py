@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.common import table
+from newsloom.common import stored, table
 from newsloom.functions.urls import url_hash
 
 # Fixed value: the columns of the CSV export, in order.
@@ -35,19 +35,28 @@ def flatten(df: DataFrame) -> DataFrame:
         "language": _text(m["language"]),
         "tags": F.coalesce(F.array_join("tags", ", "), F.lit("")),
         "scraped_at": F.coalesce(F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")),
-        "processing_time_ms": F.round(F.coalesce("processing_time_ms", F.lit(0.0)), 2),
+        "processing_time_ms": F.bround(F.coalesce("processing_time_ms", F.lit(0.0)), 2),
     }
     return df.select(*[values.get(c, _text(F.col(c)) if c in df.columns else F.lit("")).alias(c) for c in CSV_COLUMNS])
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False, bom: bool = False) -> None:
-    """SNK-05, SNK-06: CSV with a header in each part; `bom` marks the header's first name, as Spark writes no byte order mark."""
+    """SNK-05, SNK-06: CSV with a header in each part, so that each can be read by itself; `bom` starts each with a byte order mark.
+
+    Spark writes no mark, so the first header name carries it; `read_csv` takes it off.
+    """
     out = flatten(df)
     if bom:
-        out = out.withColumnRenamed("article_id", "﻿article_id")
+        out = out.withColumnRenamed(CSV_COLUMNS[0], "\ufeff" + CSV_COLUMNS[0])
     out.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def read_csv(spark, path: str) -> DataFrame:
+    """The rows that `write_csv` wrote, as text; empty texts come back empty."""
+    x = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\0").csv(path)
+    return x.toDF(*[c.removeprefix("\ufeff") for c in x.columns])
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     """SNK-03: one JSON object a line, nulls kept."""
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
@@ -78,15 +87,43 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFr
 def upsert_count(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
     """SNK-09: (inserted, modified, unchanged, n): `n` counts inserted and modified rows only."""
     o = old.select(F.col(key).alias("__nl_k"), F.hash(*values).alias("__nl_o"), F.xxhash64(*values).alias("__nl_o2"))
-    x = new.select(key, F.hash(*values).alias("__nl_n"), F.xxhash64(*values).alias("__nl_n2")).join(o, F.col(key) == F.col("__nl_k"), "left")
+    x = new.where(F.col(key).isNotNull()).select(key, F.hash(*values).alias("__nl_n"), F.xxhash64(*values).alias("__nl_n2")).join(o, F.col(key) == F.col("__nl_k"), "left")
     same = (F.col("__nl_n") == F.col("__nl_o")) & (F.col("__nl_n2") == F.col("__nl_o2"))
     out = x.agg(F.count_if(F.col("__nl_k").isNull()).alias("inserted"), F.count_if(F.col("__nl_k").isNotNull() & ~same).alias("modified"), F.count_if(F.coalesce(same, F.lit(False))).alias("unchanged"))
     return out.withColumn("n", F.col("inserted") + F.col("modified"))
 
 
-def write_keyed(df: DataFrame, path: str, key: str = "article_id", buckets: int = 64) -> None:
-    """SNK-01, SNK-02: one row a key, in partitions by the key's hash for point lookups."""
-    df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_keyed(df: DataFrame, path: str, key: str = "article_id", order: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """SNK-01, SNK-02, SNK-08: upsert into a keyed table, in partitions by the key's hash for point lookups; the counts of `upsert_count`.
+
+    Only the buckets that `df` touches are read and written anew, into a folder
+    of their own before they take the place of the old ones, so keys of earlier
+    runs stay. Of several rows of a key the last by `order` counts.
+    """
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c != key]
+    order = order or []
+    bucket = lambda x: x.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    new = bucket(stored(latest(df, key, order)))
+    known = stored_table(spark, path)
+    old = (known if known is not None else spark.createDataFrame([], new.schema)).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")  # at most `buckets` rows
+    old = stored(old.select(*[F.col(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in new.columns]))
+    counts = stored(upsert_count(old, new, key, rest))
+    both = stored(upsert(old, new, key, []))  # read before its place is written
+    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return counts
+
+
+def stored_table(spark, path: str) -> DataFrame | None:
+    """The table at `path`, None if there is none yet; other errors end the run."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def find_by_id(spark, path: str, key: str, value: str, buckets: int = 64) -> DataFrame:
@@ -95,6 +132,22 @@ def find_by_id(spark, path: str, key: str, value: str, buckets: int = 64) -> Dat
     return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col(key) == value)).drop("bucket")
 
 
+def find_by(spark, path: str, column: str, value) -> DataFrame:
+    """SNK-10: the rows of a keyed table with a value in another column; the filter reaches the scan."""
+    return spark.read.parquet(path).where(F.col(column) == value).drop("bucket")
+
+
+def count_rows(spark, path: str, status: str | None = None) -> int:
+    """SNK-10: how many rows a keyed table has, with a status if one is named."""
+    x = spark.read.parquet(path)
+    return (x.where(F.col("status") == status) if status else x).count()
+
+
+def write_raw(df: DataFrame, path: str) -> None:
+    """PIP-01: the extracted rows before they are validated, appended in full."""
+    df.write.mode("append").parquet(path)
+
+
 def failed(tagged: DataFrame) -> DataFrame:
     """SNK-11: the records of failed URLs; rows dropped for their language have none."""
     x = tagged.where(F.col("outcome").isin("extract_failed", "insufficient"))
@@ -102,7 +155,7 @@ def failed(tagged: DataFrame) -> DataFrame:
 
 
 def csv_flatten(spark, d) -> DataFrame:
-    return flatten(table(spark, d, "articles")).drop("reading_time_minutes")
+    return flatten(table(spark, d, "articles"))
 
 
 def jsonl_rows(spark, d) -> DataFrame:
@@ -139,8 +192,8 @@ _N = "case when {0} is null or {0} = 0 then '' else cast({0} as varchar) end".fo
 _BAD = "case when status = 'failed' or length(coalesce(title, '')) < 3 then coalesce(error_message, 'Unknown error') when not (length(coalesce(title, '')) > 0 and (length(coalesce(body, '')) >= 200 or length(coalesce(snippet, '')) > 0)) then 'Insufficient content' end"
 ORACLES = {
     "csv_flatten": f"""select article_id, {_T('url')} as url, {_T('title')} as title, {_T('author')} as author, {_T('published_at')} as published_at, {_T('source')} as source, {_T('source_url')} as source_url, {_T('search_query')} as search_query,
-      substring({_T('snippet')}, 1, 500) as snippet, replace(substring({_T('body')}, 1, 300), chr(10), ' ') as body_preview, {_N('metadata.word_count')} as word_count, {_T('metadata.language')} as language, {_T('thumbnail_url')} as thumbnail_url,
-      coalesce(array_to_string(tags, ', '), '') as tags, {_T('status')} as status, coalesce(strftime(scraped_at, '%Y-%m-%dT%H:%M:%S'), '') as scraped_at, round(coalesce(processing_time_ms, 0), 2) as processing_time_ms, {_T('error_message')} as error_message from articles""",
+      substring({_T('snippet')}, 1, 500) as snippet, replace(substring({_T('body')}, 1, 300), chr(10), ' ') as body_preview, {_N('metadata.word_count')} as word_count, {_N('metadata.reading_time_minutes')} as reading_time_minutes, {_T('metadata.language')} as language, {_T('thumbnail_url')} as thumbnail_url,
+      coalesce(array_to_string(tags, ', '), '') as tags, {_T('status')} as status, coalesce(strftime(scraped_at, '%Y-%m-%dT%H:%M:%S'), '') as scraped_at, round_even(coalesce(processing_time_ms, 0), 2) as processing_time_ms, {_T('error_message')} as error_message from articles""",
     "upsert_latest": "select article_id, scraped_at, row_id, status from (select *, row_number() over (partition by article_id order by scraped_at desc nulls last, row_id desc) as n from articles where article_id is not null) where n = 1",
     "upsert_counts": """with w as (select article_id, coalesce(title, '') as title, row_id, min(row_id) over (partition by article_id) as lo, max(row_id) over (partition by article_id) as hi from articles), o as (select * from w where row_id = lo), n as (select * from w where row_id = hi)
       select 0 as inserted, count(*) filter (n.title <> o.title) as modified, count(*) filter (n.title = o.title) as unchanged, count(*) filter (n.title <> o.title) as n from n join o using (article_id)""",

@@ -96,8 +96,12 @@ def test_sinks(spark, tmp_path):
     a = spark.createDataFrame([("k1", 1, "x"), ("k1", 2, "y"), ("k2", 1, None), (None, 1, "z")], "article_id string, v int, title string")
     last = sinks.latest(a, "article_id", ["v"])
     assert {r["article_id"]: r["title"] for r in last.collect()} == {"k1": "y", "k2": None}
-    sinks.write_keyed(last, str(tmp_path / "t"), buckets=4)
+    assert sinks.write_keyed(last, str(tmp_path / "t"), buckets=4).first()[:] == (2, 0, 0, 2)
     assert sinks.find_by_id(spark, str(tmp_path / "t"), "article_id", "k1", 4).first()["title"] == "y"
+    more = spark.createDataFrame([("k2", 7, "changed"), ("k9", 1, "c"), ("k1", 2, "y")], a.schema)
+    assert sinks.write_keyed(more, str(tmp_path / "t"), buckets=4).first()[:] == (1, 1, 1, 2)
+    assert {r["article_id"]: r["title"] for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {"k1": "y", "k2": "changed", "k9": "c"}
+    assert sinks.find_by(spark, str(tmp_path / "t"), "title", "c").first()["article_id"] == "k9" and sinks.count_rows(spark, str(tmp_path / "t")) == 3
     up = sinks.upsert(last, spark.createDataFrame([("k2", 5, "new"), ("k3", 1, "c")], a.schema), "article_id", ["v"])
     assert up.count() == 3 and up.where("article_id = 'k2'").first()["title"] == "new"
     assert sinks.upsert_count(last, up, "article_id", ["v", "title"]).first()[:] == (1, 1, 1, 2)
@@ -190,6 +194,53 @@ def test_cli(spark, tmp_path, capsys):
         cli.main([], spark)
 
 
+def test_two_runs_keep_both(spark, tmp_path, caplog):
+    """Later runs keep earlier articles in full and do not fetch what was seen; searches that fail are logged."""
+    second = PAGE.replace("Test Article", "Second Article")
+    spark.createDataFrame([("https://a.example/1", PAGE), ("https://a.example/2", second), ("https://s.example/deep/story", second)], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame([("solar power", "https://s.example/deep/story", "T", "A snippet that is long enough.", 1), ("solar power", "", "T", "", 2), ("other", "https://s.example/x", "T", "A snippet that is long enough.", 1)], "query string, url string, title string, snippet string, rank int").write.parquet(str(tmp_path / "hits"))
+    args = ["--pages", str(tmp_path / "pages"), "--out", str(tmp_path / "out"), "--seen", "--urls"]
+    assert cli.main([*args, "https://a.example/1"], spark) == 0
+    assert cli.main([*args, "https://a.example/1", "https://a.example/2", "--ddg", "--search-transport", "newsloom.sources.search:replay", "--search-table", str(tmp_path / "hits"), "--keywords", "solar power"], spark) == 0
+    rows = {r["url"]: r for r in spark.read.parquet(str(tmp_path / "out/cleaned")).collect()}
+    assert set(rows) == {"https://a.example/1", "https://a.example/2", "https://s.example/deep/story"}
+    assert all(len(r["images"]) == 2 and r["metadata"]["keywords"] == ["a", "b", "c"] and r["tags"] == [] for r in rows.values())
+    assert spark.read.parquet(str(tmp_path / "out/raw")).count() == 3 and D.load_seen(spark, str(tmp_path / "out/seen")).count() == 3
+    assert cli.main(["--out", str(tmp_path / "none"), "--ddg", "--search-transport", "tests.test_pipeline:fake_hits", "--keywords", "bad"], spark) == 0
+    assert "search failed for 'bad': down" in caplog.text
+
+
+def test_search_requests():
+    page = '<div class="result"><a class="result__a" href="//d.example/l/?uddg=https%3A%2F%2Fn.example%2F1&rut=x">The <b>title</b></a><a class="result__snippet" href="#">A  snippet <b>here</b>.</a></div><a class="result__a" href="https://n.example/2">Two</a>'
+    assert R.result_page(page) == [{"href": "https://n.example/1", "title": "The title", "body": "A snippet here."}, {"href": "https://n.example/2", "title": "Two", "body": ""}]
+    assert R.query_text(" -solar; power- (new)", "n.example", ["-ads", "--"]) == "solar power new site:n.example -ads"
+    assert R.search_params("q", from_date="2024-03-01", to_date="no date")["from"] == "2024-03-01T00:00:00+00:00" and "to" not in R.search_params("q", to_date="???")
+    assert R.source_params(category="tech", country="gb") == {"category": "tech", "country": "gb"}
+
+
+def seen_api():
+    def get(endpoint, params):
+        body = {"sources": [{"id": "a", "category": params.get("category")}]} if endpoint == "sources" else {"articles": [{"url": f"{endpoint}/{params.get('q')}/{params.get('country')}"}]}
+        return 200, json.dumps({"status": "ok", **body})
+
+    return get
+
+
+def test_api_endpoints(spark):
+    R.register(spark)
+    read = lambda **o: spark.read.format("newsloom_api").options(transport="tests.test_pipeline:seen_api", **o).load().select("payload")
+    assert R.api_articles(read(endpoint="top-headlines", country="gb")).first()["url"] == "top-headlines/None/gb"
+    assert R.catalogue(read(endpoint="sources", category="tech"), category="tech").first()["id"] == "a"
+
+
+def test_broadcast_bound(spark):
+    from newsloom.common import small
+
+    rows = spark.createDataFrame([(i, "x" * 1000, ["y" * 100]) for i in range(100)], "id long, t string, a array<string>")
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small(rows)) and not hinted(small(rows, most=50)) and not hinted(small(rows, most_bytes=50_000))
+
+
 def test_config_and_retry(tmp_path):
     (tmp_path / "env").write_text("MAX_RETRIES=7\n# x\nLOG_DIR='l'\n")
     s = config.load(str(tmp_path / "env"), tmp_path, {"REQUEST_TIMEOUT": "5"})
