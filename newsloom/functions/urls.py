@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -84,12 +85,15 @@ def clean_url(url: Column) -> Column:
     return F.regexp_replace(strip(url), r"/+\z", "")
 
 
-@F.udf(StringType(), useArrow=True)
-def _join(base: str | None, link: str | None) -> str | None:
-    try:
-        return urljoin(base or "", (link or "").strip())
-    except ValueError:
-        return None
+@F.pandas_udf(StringType())
+def _join(base: pd.Series, link: pd.Series) -> pd.Series:
+    def one(b: str | None, x: str | None) -> str | None:
+        try:
+            return urljoin(b or "", (x or "").strip())
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, x) for b, x in zip(base, link, strict=True)], dtype=object)
 
 
 def resolve_relative_url(base: Column, link: Column) -> Column:

@@ -318,9 +318,12 @@ def images(root: Node, base: str, most: int = 10) -> list[dict]:
     return out
 
 
-def article(html: str, url: str) -> dict:
-    """EXT-15: the fields of an article from a page, or `error` if it breaks a constraint of the schema (EXT-16)."""
-    root = clean(parse(html))
+def article(html: str, url: str, cleaned: bool = True) -> dict:
+    """EXT-15: the fields of an article from a page, or `error` if it breaks a constraint of the schema (EXT-16).
+
+    Only a tree that is not cleaned first still has its JSON-LD (EXT-04).
+    """
+    root = clean(parse(html)) if cleaned else parse(html)
     meta = metadata(root, url)
     pics = images(root, url)
     og = opengraph(root)

@@ -18,14 +18,14 @@ from newsloom.schemas import IMAGES, METADATA
 _FIELDS = [("title", S.StringType()), ("author", S.StringType()), ("dates", S.ArrayType(S.StringType())), ("body", S.StringType()), ("snippet", S.StringType()), ("images", IMAGES), ("thumbnail_url", S.StringType()), ("metadata", METADATA)]
 
 
-def _kernel(kept: list[str], arrow: pa.Schema):
+def _kernel(kept: list[str], arrow: pa.Schema, cleaned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()  # noqa: B023, E731
             rows = []
             for url, html, final, error in zip(col("url"), col("html"), col("final_url"), col("error"), strict=True):
                 try:
-                    got = {"error": error} if error else article(html, final or url or "") if html else {"error": "No HTML received"}
+                    got = {"error": error} if error else article(html, final or url or "", cleaned) if html else {"error": "No HTML received"}
                 except Exception as e:  # noqa: BLE001  no page may end the job
                     got = {"error": f"Parse error: {e}"}
                 rows.append(got)
@@ -38,7 +38,7 @@ def _kernel(kept: list[str], arrow: pa.Schema):
     return run
 
 
-def extract(df: DataFrame, source: str, query: str | None, as_of: dt.datetime | None = None) -> DataFrame:
+def extract(df: DataFrame, source: str, query: str | None, as_of: dt.datetime | None = None, cleaned: bool = True) -> DataFrame:
     """Articles of the pages in `df` (url, html, final_url, error, and columns to keep), with `_ok` and `_error`.
 
     The article's id and URL are those of the final URL; an error of the fetch, a
@@ -49,7 +49,7 @@ def extract(df: DataFrame, source: str, query: str | None, as_of: dt.datetime |
 
     kept = [c for c in df.columns if c != "html"]
     schema = S.StructType([df.schema[c] for c in kept] + [S.StructField(n, t, True) for n, t in _FIELDS] + [S.StructField("_ok", S.BooleanType()), S.StructField("_error", S.StringType())])
-    x = df.mapInArrow(_kernel(kept, to_arrow_schema(schema)), schema)
+    x = df.mapInArrow(_kernel(kept, to_arrow_schema(schema), cleaned), schema)
     final = F.coalesce("final_url", "url")
     x = x.withColumn("__nl_dates", parse_dates(F.col("dates"), as_of))  # a stage of its own, as functions of arrays cannot hold Python's result
     x = x.withColumns({"source_url": F.when(F.col("url") != final, F.col("url")), "published_at": F.get(F.filter("__nl_dates", lambda t: t.isNotNull()), F.lit(0))}).drop("__nl_dates")

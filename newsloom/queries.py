@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom import queries_more as more
 from newsloom.common import table
 from newsloom.functions import text as T
 from newsloom.functions import urls as U
@@ -13,6 +14,7 @@ from newsloom.operators import frontier as D
 from newsloom.operators import search as S
 from newsloom.operators.timestamps import p6_found, p6_kinds
 from newsloom.plans import pipeline as P
+from newsloom.sources import search as R
 from newsloom.sources import sinks as K
 
 AS_OF = "2024-06-01 00:00:00"
@@ -96,8 +98,9 @@ def source_unknown(spark, d) -> DataFrame:
 
 
 def source_catalogue(spark, d) -> DataFrame:
-    s = table(spark, d, "sites").where("site_lang = 'en' and country = 'GB'")
-    return s.select(F.col("domain").alias("id"), F.col("source_name").alias("name"))
+    s = table(spark, d, "sites").select(F.col("domain").alias("id"), F.col("source_name").alias("name"), F.col("site_lang").alias("language"), "country")
+    payload = s.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("sources"))).alias("payload"))  # one payload, as the API answers: sites is a fixed table
+    return R.catalogue(payload, language="en", country="GB").select("id", "name")
 
 
 def content_hash_dups(spark, d) -> DataFrame:
@@ -172,17 +175,25 @@ def content_digests(spark, d) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f
+    **more.QUERIES,
+    **{f.__name__: f
     for f in (
         p6_found, p6_kinds, url_validate, url_normalize, url_hash, url_domain_key, frontier_dedup, frontier_outcomes, seen_antijoin, seen_count, search_dedup, search_filter, search_topk, keyword_sanitize, build_query,
         source_semi, source_unknown, source_catalogue, content_hash_dups, text_replace, text_nfc, boilerplate_lines, dedup_lines, clean_text, clean_title, clean_snippet, word_count, language_guess, is_recent,
         date_range, json_props, keyword_arrays, keyword_split, content_digests,
         P.validity_filter, P.language_filter, P.pipeline_outcomes, P.pipeline_stats, P.html_articles, P.flagship, K.csv_flatten, K.upsert_latest, K.upsert_counts, K.failed_records, K.jsonl_rows,
-    )
+    )},
 }
 flagship = P.flagship
 
 # ---- the same in SQL -------------------------------------------------------------------------
+# Fixed values as SQL expects them, written out so that a wrong one in the engine shows.
+_SQL_TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "msclkid", "yclid", "ref", "source", "_ga", "mc_cid", "mc_eid", "si"]
+_SQL_EXTENSIONS = ["pdf", "jpg", "jpeg", "png", "gif", "svg", "webp", "mp4", "mp3", "avi", "zip", "tar", "gz", "exe", "css", "js", "xml", "json", "rss"]
+_SQL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.mx", "com.ar", "com.cn", "com.tr", "co.in", "co.za", "co.kr", "com.sg", "com.hk"]
+_SQL_BLOCKED = ["google.com", "google.co.uk", "bing.com", "yahoo.com", "duckduckgo.com", "reddit.com", "twitter.com", "x.com", "facebook.com", "instagram.com", "linkedin.com", "youtube.com", "t.co", "bit.ly"]
+_SQL_BOILERPLATE = [r"^(share|tweet|email|print|save|copy link|bookmark)(\s+this)?(\s+article)?$", "^advertisement$", "^continue reading (below|this article)", "^sponsored content$", "^follow us on", "^click here to", "^read more[:.]?$", "sign up for (our|the) newsletter", "^subscribe (to|for)", "^you might also like", "^also read[:.]?$"]
+_SQL_STOPWORDS = {"en": "the and of in to for with on at was by said", "fr": "le la les des du et une dans pour sur est avec", "de": "der die das und den von im nach ein eine mit aus", "es": "el los las y con una por del para su tras en", "it": "il gli della di che un una per dopo nel con ha", "pt": "o os da do uma em disse com não para após as"}
 _STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}\x{{FEFF}}]+|[\s\p{{Z}}\x{{FEFF}}]+$', '', 'g')"
 _PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -199,15 +210,15 @@ def _quoted(items: list[str]) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
 
 
-_EXT = "|".join(e[1:] for e in U.NON_ARTICLE_EXTENSIONS)
+_EXT = "|".join(_SQL_EXTENSIONS)
 _HOST = f"lower(regexp_replace(regexp_replace({_part('url', 2)}, '^.*@', ''), ':[0-9]*$', ''))"
 _KIND = rf"regexp_extract(lower({_part('url', 3)}), '(\.(?:{_EXT}))$', 1)"
 _VALID = f"coalesce(lower({_part('url', 1)}) in ('http', 'https') and {_part('url', 2)} <> '', false)"
 _REASON = f"""case when coalesce({_strip('url')}, '') = '' then 'Empty URL' when not {_VALID} then 'Invalid scheme or missing netloc'
-  when {_KIND} <> '' then 'Non-article file type (' || {_KIND} || ')' when {_HOST} in ({_quoted(U.PUBLIC_SUFFIXES)}, '') or regexp_matches({_HOST}, '^\\.*$') then 'Could not extract domain' end"""
+  when {_KIND} <> '' then 'Non-article file type (' || {_KIND} || ')' when {_HOST} in ({_quoted(_SQL_SUFFIXES)}, '') or regexp_matches({_HOST}, '^\\.*$') then 'Could not extract domain' end"""
 _QUERY_PAIRS = f"list_transform(string_split({_part('url', 4)}, '&'), lambda p, i: {{'k': url_decode(replace(regexp_extract(p, '^([^=]*)=', 1), '+', ' ')), 'i': i, 'v': url_decode(replace(regexp_extract(p, '^[^=]*=(.*)', 1), '+', ' '))}})"
 _ENC = "replace(url_encode({0}), '%20', '+')"
-_QUERY = f"list_transform(list_sort(list_filter({_QUERY_PAIRS}, lambda p: p.v <> '' and p.k not in ({_quoted(U.TRACKING_KEYS)}))), lambda p: {_ENC.format('p.k')} || '=' || {_ENC.format('p.v')})"
+_QUERY = f"list_transform(list_sort(list_filter({_QUERY_PAIRS}, lambda p: p.v <> '' and p.k not in ({_quoted(_SQL_TRACKING)}))), lambda p: {_ENC.format('p.k')} || '=' || {_ENC.format('p.v')})"
 _PATH = f"regexp_replace(regexp_replace({_part('url', 3)}, ';[^/]*$', ''), '/+$', '')"
 _CANON = f"""(case when {_part('url', 1)} <> '' then lower({_part('url', 1)}) || ':' else '' end || case when {_part('url', 2)} <> '' then '//' || lower({_part('url', 2)}) else '' end
   || case when {_PATH} = '' then '/' else {_PATH} end || case when len({_QUERY}) > 0 then '?' || array_to_string({_QUERY}, '&') else '' end)"""
@@ -229,7 +240,7 @@ def _normal(x: str) -> str:
 
 
 def _boiler(x: str) -> str:
-    known = "|".join(f"(?:{p})" for p in T.BOILERPLATE_LINES)
+    known = "|".join(f"(?:{p})" for p in _SQL_BOILERPLATE)
     return rf"({x} <> '' and ((regexp_matches({x}, '^(?:[^\s\p{{Z}}]+[\s\p{{Z}}]?){{1,3}}$') and length({x}) < 30 and not regexp_matches({x}, '[.!?]$')) or regexp_matches({x}, '(?i){known}')))"
 
 
@@ -244,7 +255,7 @@ select row_id, string_agg(t, chr(10) order by i) as body from n where k = '' or
 
 
 _WORDS = r"regexp_split_to_array(lower(text), '[^\p{L}]+')"
-_VOTES = "list_value(" + ", ".join(f"{{'n': len(list_intersect({_WORDS}, [{_quoted(ws.split())}])), 'k': '{k}'}}" for k, ws in sorted(T.STOPWORDS.items())) + ")"
+_VOTES = "list_value(" + ", ".join(f"{{'n': len(list_intersect({_WORDS}, [{_quoted(ws.split())}])), 'k': '{k}'}}" for k, ws in sorted(_SQL_STOPWORDS.items())) + ")"
 _TITLE = rf"regexp_replace({_strip(_normal('title'))}, '[\s\p{{Z}}]*[|\-–—][\s\p{{Z}}]*[^|\-–—]{{3,50}}$', '')"
 _SNIP = _strip(_normal("text"))
 
@@ -259,7 +270,7 @@ ORACLES: dict[str, str] = {
     "seen_count": "select count(distinct article_id) as n from articles",
     "search_dedup": "select query, url, rank from (select *, row_number() over (partition by query, url order by rank nulls last, title nulls last, snippet nulls last) as n from search_results where coalesce(url, '') <> '') where n = 1",
     "search_filter": f"""select url, rank, query from (select *, row_number() over (partition by url order by rank nulls last, query nulls last, snippet nulls last) as n from search_results
-      where {_VALID} and {_DOMAIN} not in ({_quoted([*S.BLOCKED_DOMAINS, 'osprey24.example'])}) and length({_strip("coalesce(snippet, '')")}) >= 20) where n = 1""",
+      where {_VALID} and {_DOMAIN} not in ({_quoted([*_SQL_BLOCKED, 'osprey24.example'])}) and length({_strip("coalesce(snippet, '')")}) >= 20) where n = 1""",
     "search_topk": """select query, rank, url from (select *, row_number() over (partition by query order by rank nulls last, url nulls last) as k from
       (select *, row_number() over (partition by query, url order by rank nulls last, title nulls last, snippet nulls last) as n from search_results where coalesce(url, '') <> '' and query is not null) where n = 1) where k <= 10""",
     "keyword_sanitize": r"""select p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(p_name || '; -' || p_type || '- (new) ''x''', '[^\p{L}\p{N}\p{Mn}_\s\p{Z}\-'']', '', 'g'), '[\s\p{Z}]+'), lambda t: trim(t, '-')), lambda t: t <> ''), ' ') as keyword from part""",
@@ -289,6 +300,7 @@ ORACLES: dict[str, str] = {
     **P.oracles(_normal, _strip, _TITLE),
     **K.ORACLES,
 }
+ORACLES |= more.oracles(_FRONTIER, _strip, _part, _TITLE)
 ORACLES["language_filter"] = f"select doc_id from ({ORACLES['language_guess']}) where lang is null or lang = 'en'"
 ORACLES["flagship"] = f"""select a.row_id, a.url, {_TITLE} as title, case when length(a.body) > 0 then c.body_md5 else md5(a.body) end as body_md5,
   case when length({_strip(_normal('a.snippet'))}) > 1000 then regexp_replace(substring({_strip(_normal('a.snippet'))}, 1, 1000), ' [^ ]*$', '') || '…' else {_strip(_normal('a.snippet'))} end as snippet

@@ -1,9 +1,7 @@
-"""Schemas of the records, and their row constraints."""
+"""Schemas of the records."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 IMAGES = S.ArrayType(S.StructType().add("url", "string").add("alt", "string").add("width", "integer").add("height", "integer"))
@@ -13,18 +11,3 @@ SEARCH_RESULT = S.StructType().add("query", "string").add("title", "string").add
 API_ARTICLE = S.StructType().add("title", "string").add("url", "string").add("description", "string").add("author", "string").add("published_at", "timestamp").add("source_name", "string").add("url_to_image", "string").add("content", "string")
 #: Raw rows of the news API, as its JSON has them.
 API_RAW = "status string, totalResults int, message string, articles array<struct<title: string, url: string, description: string, author: string, publishedAt: string, source: struct<id: string, name: string>, urlToImage: string, content: string>>"
-
-STATUSES = ["raw", "cleaned", "validated", "failed"]
-SOURCES = ["duckduckgo", "newsapi", "direct", "unknown"]
-
-
-def violation() -> Column:
-    """The first constraint that a row of articles breaks, null if none: title of 3 characters, body or snippet, a URL, known enums."""
-    empty = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))) == 0
-    return (
-        F.when(F.length(F.coalesce("title", F.lit(""))) < 3, "title")
-        .when(empty("body") & empty("snippet"), "content")
-        .when(F.trim(F.coalesce("url", F.lit(""))) == "", "url")
-        .when(~F.coalesce(F.col("status"), F.lit("raw")).isin(STATUSES), "status")
-        .when(~F.coalesce(F.col("source"), F.lit("unknown")).isin(SOURCES), "source")
-    )

@@ -48,7 +48,7 @@ def write_csv(df: DataFrame, path: str, append: bool = False, bom: bool = False)
     out = flatten(df)
     if bom:
         out = out.withColumnRenamed(CSV_COLUMNS[0], "\ufeff" + CSV_COLUMNS[0])
-    out.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
+    out.write.mode("append" if append else "overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def read_csv(spark, path: str) -> DataFrame:

@@ -123,7 +123,7 @@ def test_maps_and_json(spark):
 
 def test_same_as_sql(spark):
     con = duckdb.connect()
-    for t in ("articles", "newsapi_articles", "search_results", "extraction_results", "sites", "documents", "events", "orders", "part"):
+    for t in ("articles", "newsapi_articles", "search_results", "extraction_results", "sites", "documents", "events", "orders", "part", "lineitem"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
 
     def rows(df, cols):
