@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.common import small, stored, table
+from newsloom.common import cut, small, stored, table
 
 #: The folder of the public tokenizers' vocabularies; a parameter of `pack`.
 TOKENIZERS = os.environ.get("NEWSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -123,17 +123,35 @@ def patterns(sizes: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     return out
 
 
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of whole kinds of containers with their histogram of lengths: the runs of ranks (lo to hi) of a length that the bins from `first` on hold, `per` each."""
+    cols: list[list] = [[] for _ in range(6)]
+    for batch in batches:
+        for container, cap, hist in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            used: dict[int, int] = {}
+            first = 0
+            for bins, fill in patterns({x["len"]: x["n"] for x in hist}, cap):
+                for length, n in fill.items():
+                    at = used.get(length, 0)
+                    used[length] = at + n * bins
+                    for c, v in zip(cols, (container, length, at, at + n * bins, n, first), strict=True):
+                        c.append(v)
+                first += bins
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 5), strict=True)], names=["container", "len", "lo", "hi", "per", "first"])
+
+
 def pack(docs: DataFrame, doc_id: str, text: str, limits: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """(doc_id, container, part, bin, tokens): the container of every non-empty text, for each kind of container.
 
     A text that exceeds the capacity alone is cut into full parts, which fill bins
     of their own, and a rest that is packed like a text. Null and empty texts
-    have no place; repeated documents have one each. The counts that reach the
-    driver are one number for each kind and length, bounded by the capacities.
+    have no place; repeated documents have one each. The patterns of each kind
+    are found in a task of its own, from one number for each length, bounded by
+    the capacity; texts meet the run of their rank by blocks of ranks as wide as
+    a run is on average.
     """
     kinds = [(r[0], int(r[1])) for r in limits.where("capacity_tokens > 0").select("container", "capacity_tokens").distinct().orderBy("container").collect()]
     sized = stored(token_counts(docs, doc_id, text, folder, name))
-    spark = docs.sparkSession
     kind_rows = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(cap).cast("long").alias("cap")) for c, cap in kinds])
     items = sized.select("id", "size", F.inline(kind_rows))
     rest = items.withColumn("len", F.when(F.col("size") % F.col("cap") == 0, F.when(F.col("size") > 0, F.col("cap")).otherwise(F.lit(0))).otherwise(F.col("size") % F.col("cap"))).where("len > 0")
@@ -141,27 +159,18 @@ def pack(docs: DataFrame, doc_id: str, text: str, limits: DataFrame, folder: str
     # ranks within a length: partitions are counted first, so that no length is gathered in one place
     blocks = max(64, sized.count() // 2_000_000)
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    counts = rest.groupBy("container", "len", "block").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(rest.groupBy("container", "cap", "len", "block").agg(F.count(F.lit(1)).alias("n")))
     before = Window.partitionBy("container", "len").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("container", "len", "block", "before")
     ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("container", "len", "block").orderBy("id", "size")) - 1).join(offsets, ["container", "len", "block"]).withColumn("r", F.col("r") + F.col("before"))
-    hist: dict[str, dict[int, int]] = {}
-    for r in counts.groupBy("container", "len").agg(F.sum("n").alias("n")).collect():
-        hist.setdefault(r["container"], {})[r["len"]] = r["n"]
-    places = []
-    for container, cap in kinds:
-        used: dict[int, int] = {}
-        first = 0
-        for bins, fill in patterns(hist.get(container, {}), cap):
-            for length, n in fill.items():
-                at = used.get(length, 0)
-                places.append((container, length, at, at + n * bins, n, first))
-                used[length] = at + n * bins
-            first += bins
-    table_ = spark.createDataFrame(places, "container string, len long, lo long, hi long, per long, first long")
-    lookup = small(table_.groupBy("container", "len").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "per", "first"))).alias("runs")))
+    # at most one row for each token of capacity in a kind's histogram
+    hist = counts.groupBy("container", "cap", "len").agg(F.sum("n").alias("n")).groupBy("container", "cap").agg(F.collect_list(F.struct("len", "n")).alias("hist"))
+    runs = cut(hist.repartition(max(1, len(kinds)), "container").mapInArrow(places, "container string, len long, lo long, hi long, per long, first long"))
+    widths = small(runs.groupBy("container", "len").agg(F.ceil(F.max("hi") / F.count(F.lit(1))).alias("width")))
+    span = F.sequence(F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width")))
+    lookup = small(runs.join(widths, ["container", "len"]).select("*", F.explode(span).alias("at")).groupBy("container", "len", "at").agg(F.collect_list(F.struct("lo", "hi", "per", "first")).alias("runs")))
     run = F.filter("runs", lambda x: (F.col("r") >= x["lo"]) & (F.col("r") < x["hi"]))[0]
-    placed = ranked.join(lookup, ["container", "len"]).withColumn("run", run)
+    placed = ranked.join(widths, ["container", "len"]).withColumn("at", F.floor(F.col("r") / F.col("width"))).join(lookup, ["container", "len", "at"]).withColumn("run", run)
     one = placed.select("id", "container", F.col("full").alias("part"), (F.col("run.first") + F.floor((F.col("r") - F.col("run.lo")) / F.col("run.per"))).cast("string").alias("bin"), F.col("len").alias("tokens"))
     # full parts fill their bins alone and need no number shared with others
     cut_ = ranked.where("full > 0").select("id", "container", "cap", "len", "r", F.posexplode(F.sequence(F.lit(1), F.col("full").cast("int"))).alias("part", "__nl_k"))
@@ -179,3 +188,11 @@ def p8_usage(spark, sf_dir: str) -> DataFrame:
     caps = table(spark, sf_dir, "pack_limits")
     x = p8_pack(spark, sf_dir).groupBy("container", "bin").agg(F.sum("tokens").alias("t")).groupBy("container").agg(F.count(F.lit(1)).alias("bins"), F.sum("t").alias("tokens"))
     return x.join(F.broadcast(caps.dropDuplicates(["container"])), "container").select("container", "bins", "tokens", (F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def p8_checks(spark, sf_dir: str) -> DataFrame:
+    """(container, n_over, n_tokens, n_texts): per kind the bins beyond their capacity (none), and all tokens and texts that have a place."""
+    caps = table(spark, sf_dir, "pack_limits").dropDuplicates(["container"])
+    x = p8_pack(spark, sf_dir)
+    bins = x.groupBy("container", "bin").agg(F.sum("tokens").alias("t")).join(F.broadcast(caps), "container").groupBy("container").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"), F.sum("t").alias("n_tokens"))
+    return bins.join(x.groupBy("container").agg(F.count_distinct("doc_id").alias("n_texts")), "container")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.common import small, stored, table
+from newsloom.common import cut, small, stored, table
 from newsloom.llm.wordmodel import Adam, Corpus, TokenTable, averages, normal, sigmoid
 
 #: The classifier is fitted on at most this many labelled documents, chosen by hash.
@@ -31,7 +31,11 @@ STEPS, RATE, DECAY = 40, 0.2, 2e-5
 SHARE = 0.25
 #: Log-odds down to which the clearest sentence of an otherwise unclear text decides.
 FAINT = -1.5
-_STOPS = (".", "!", "?", '."', '!"', '?"', ".”", "!”", "?”", ".»", ".)", "…")
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences of a text: pieces of its lines up to a full stop, exclamation or question mark."""
+    return text.replace('." ', '."\n').replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
 
 
 def _blocks(subjects: list[str]):
@@ -44,17 +48,10 @@ def _blocks(subjects: list[str]):
                 lines, y = [], []
                 for text, named in zip(texts[at : at + BLOCK], labels[at : at + BLOCK], strict=True):
                     row = [float(s in named) for s in subjects]
-                    words: list[str] = []
-                    for token in text.replace("\n", " \n ").split(" "):
-                        if token != "\n" and (w := normal(token)):
-                            words.append(w)
-                        if (token == "\n" or token.endswith(_STOPS)) and words:
+                    for sentence in sentences(text):
+                        if words := [w for t in sentence.split() if (w := normal(t))]:
                             lines.append(" ".join(words))
                             y.append(row)
-                            words = []
-                    if words:
-                        lines.append(" ".join(words))
-                        y.append(row)
                 if lines:
                     out = io.BytesIO()
                     np.savez_compressed(out, y=np.array(y, np.float32), lines=np.array("\n".join(lines).encode()))
@@ -93,7 +90,9 @@ def train(labelled: DataFrame, subjects: list[str]) -> dict[str, np.ndarray]:
     """Parameters fitted on `labelled` (text, named), with gradients synchronised after each step."""
     rng = np.random.default_rng(7)
     params = {"e": rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), "v": rng.normal(0, 0.3, (DIM, len(subjects))).astype(np.float32), "b": np.full(len(subjects), -2, np.float32)}
-    blocks = stored(labelled.repartition(4).mapInArrow(_blocks(subjects), "block binary"))
+    labelled = cut(labelled)
+    # a task for each two blocks; with MAX_LABELLED documents there are few, and each answers a step with one row
+    blocks = stored(labelled.repartition(max(1, -(-labelled.count() // (2 * BLOCK)))).mapInArrow(_blocks(subjects), "block binary"))
     adam = Adam(RATE)
     for _ in range(STEPS):
         # each partition answers with one row of fixed size
@@ -124,13 +123,12 @@ def _score(params: dict[str, np.ndarray], subjects: list[str]):
             ids, ends, owner = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 at = len(ids)
-                for line in text.split("\n"):
-                    for sentence in line.replace('." ', '."\n').replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n"):
-                        ids += [words[t] for t in sentence.split()]
-                        if len(ids) > at:
-                            ends.append(len(ids))
-                            owner.append(k)
-                            at = len(ids)
+                for sentence in sentences(text):
+                    ids += [words[t] for t in sentence.split()]
+                    if len(ids) > at:
+                        ends.append(len(ids))
+                        owner.append(k)
+                        at = len(ids)
             mean, n = averages(words.rows, np.array(ids, np.int64), np.array(ends, np.int64))
             bears = (mean + bias > least) & (n > 0)[:, None]
             owner_ = np.array(owner, np.int64)

@@ -300,6 +300,13 @@ def test_pack(spark):
     assert packing.pack(df.limit(0), "doc_id", "text", limits).count() == 0
 
 
+def test_hot_length(spark):
+    """One length that most texts have is packed in long runs, each text once."""
+    rows = [(i, "the bridge of alpha") for i in range(3000)] + [(5000 + i, "of " * (1 + i % 40)) for i in range(200)]
+    got = packing.pack(table(spark, rows, "doc_id long, text string"), "doc_id", "text", table(spark, [("c", 50)], "container string, capacity_tokens int")).toPandas()
+    assert len(got) == got.doc_id.nunique() == len(rows) and got.groupby("bin").tokens.sum().max() <= 50
+
+
 # ---- 9 -------------------------------------------------------------------------------------
 def test_leaks(spark):
     rng = random.Random(7)
