@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.common import cut, small, stored, table
+from newsloom.common import small, stored, table
 from newsloom.llm.wordmodel import Adam, Corpus, TokenTable, averages, normal, sigmoid
 
 #: The classifier is fitted on at most this many labelled documents, chosen by hash.
 MAX_LABELLED = 4000
 #: Labelled documents of one block, the unit of gradient computation.
 BLOCK = 500
+#: Gradients are computed in so many tasks, each of which answers a step with one row; MAX_LABELLED bounds the work of each.
+TASKS = 4
 BUCKETS, LO, HI, DIM = 1 << 15, 3, 5, 16
 STEPS, RATE, DECAY = 40, 0.2, 2e-5
 SHARE = 0.25
@@ -39,7 +41,7 @@ def sentences(text: str) -> list[str]:
 
 
 def _blocks(subjects: list[str]):
-    """Sentences of labelled documents with their weak labels, one packed row for each block of documents."""
+    """Sentences of labelled documents, taken apart once, with their weak labels: one packed row for each block of documents."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,11 +52,11 @@ def _blocks(subjects: list[str]):
                     row = [float(s in named) for s in subjects]
                     for sentence in sentences(text):
                         if words := [w for t in sentence.split() if (w := normal(t))]:
-                            lines.append(" ".join(words))
+                            lines.append(words)
                             y.append(row)
                 if lines:
                     out = io.BytesIO()
-                    np.savez_compressed(out, y=np.array(y, np.float32), lines=np.array("\n".join(lines).encode()))
+                    np.savez(out, y=np.array(y, np.float32), **Corpus(lines, LO, HI, BUCKETS, True).arrays())
                     yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["block"])
 
     return pack
@@ -70,8 +72,7 @@ def _gradients(shared):
         for batch in batches:
             for block in batch.column(0).to_pylist():
                 z = np.load(io.BytesIO(block))
-                corpus = Corpus([x.split(" ") for x in bytes(z["lines"].item()).decode().split("\n")], LO, HI, BUCKETS, True)
-                y = z["y"]
+                corpus, y = Corpus.of(z), z["y"]
                 h = corpus.forward(params["e"])
                 p = sigmoid(h @ params["v"] + params["b"])
                 g = (p - y).astype(np.float32)
@@ -90,9 +91,7 @@ def train(labelled: DataFrame, subjects: list[str]) -> dict[str, np.ndarray]:
     """Parameters fitted on `labelled` (text, named), with gradients synchronised after each step."""
     rng = np.random.default_rng(7)
     params = {"e": rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), "v": rng.normal(0, 0.3, (DIM, len(subjects))).astype(np.float32), "b": np.full(len(subjects), -2, np.float32)}
-    labelled = cut(labelled)
-    # a task for each two blocks; with MAX_LABELLED documents there are few, and each answers a step with one row
-    blocks = stored(labelled.repartition(max(1, -(-labelled.count() // (2 * BLOCK)))).mapInArrow(_blocks(subjects), "block binary"))
+    blocks = stored(labelled.repartition(TASKS).mapInArrow(_blocks(subjects), "block binary"))
     adam = Adam(RATE)
     for _ in range(STEPS):
         # each partition answers with one row of fixed size

@@ -103,6 +103,20 @@ class Corpus:
         self.word_order = np.argsort(self.ids, kind="stable")
         self.seg = np.repeat(np.arange(len(segments)), self.n.astype(np.int64))
 
+    _ARRAYS = ("ids", "starts", "n", "flat", "part", "at", "word", "word_order", "seg")
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """What a copy is made of, in narrow types."""
+        return {k: v.astype(np.int32) if v.dtype == np.int64 else v for k in self._ARRAYS for v in [getattr(self, k)]}
+
+    @classmethod
+    def of(cls, arrays) -> Corpus:
+        """The corpus that `arrays` were taken of."""
+        out = cls.__new__(cls)
+        for k in cls._ARRAYS:
+            setattr(out, k, arrays[k].astype(np.int64) if arrays[k].dtype == np.int32 else arrays[k])
+        return out
+
     def forward(self, weights: np.ndarray) -> np.ndarray:
         words = np.add.reduceat(weights[self.flat] * self.part[:, None], self.at, axis=0)
         return np.add.reduceat(words[self.ids], self.starts, axis=0) / self.n[:, None]
