@@ -142,7 +142,7 @@ class Page:
             if s:
                 self.at.append(n)
                 self.raw.append(s)
-                self.lines.append(" ".join(s.split()))
+                self.lines.append(" ".join(s.split()) if "  " in s or "\t" in s else s)
         self.marks = [m.group(1) if (m := _MARKER.match(s)) else "" for s in self.lines]
         self.marks = ["0" + m[-1] if m[:1].isdigit() else m for m in self.marks]
         self.paragraph = [is_paragraph(s) for s in self.lines]
@@ -151,7 +151,7 @@ class Page:
 
 def _scanner(t: dict):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(g, a, key, kind, occ, inner, edge, heads, form, at): once for each token of a page, `at` is its first line."""
+        """(g, a, key, kind, occ, inner, heads, form, at): once for each token of a page, `at` is its first line."""
         lines = Tokens()
         for batch in batches:
             groups, articles, sizes, keys, stats = [], [], [], [], []
@@ -163,23 +163,21 @@ def _scanner(t: dict):
                     if tok is None:
                         continue
                     inner = 0 < i < n - 1 and p.paragraph[i - 1] and p.paragraph[i + 1]
-                    edge = i == n - 1 or i == 0
                     heads = i < n - 1 and (p.marks[i + 1] in ("›", "0.", "»", ">") or (not p.marks[i + 1] and title_like(p.lines[i + 1]))) and not p.lines[i].endswith(_ENDS)
                     stop = p.lines[i].endswith(_ENDS)
                     for key, kind, form in [(tok[4], 1 if stop else 0, 0), *([(k, 1 if stop else 0, f) for f, k in enumerate(tok[:2], 1) if k]), *((k, 2, 3) for k in tok[2]), *((k, 3, 4) for k in tok[3])]:
-                        e = seen.setdefault(key, [kind, 0, 0, 0, 0, form, i])
+                        e = seen.setdefault(key, [kind, 0, 0, 0, form, i])
                         e[1] += 1
                         e[2] += inner
-                        e[3] += edge
-                        e[4] += heads
+                        e[3] += heads
                 groups.append(g)
                 articles.append(a)
                 sizes.append(len(seen))
                 keys.extend(seen)
                 stats.extend(seen.values())
-            each = np.array(stats, np.int32).reshape(-1, 7)
+            each = np.array(stats, np.int32).reshape(-1, 6)
             repeat = lambda x: pa.array(np.repeat(np.array(x, np.int64), sizes))
-            yield pa.RecordBatch.from_arrays([repeat(groups), repeat(articles), pa.array(keys, pa.int64()), *[pa.array(each[:, i]) for i in range(7)]], names=["g", "a", "key", "kind", "occ", "inner", "edge", "heads", "form", "at"])
+            yield pa.RecordBatch.from_arrays([repeat(groups), repeat(articles), pa.array(keys, pa.int64()), *[pa.array(each[:, i]) for i in range(6)]], names=["g", "a", "key", "kind", "occ", "inner", "heads", "form", "at"])
 
     return scan
 
@@ -194,9 +192,9 @@ def template(df: DataFrame, group: str, page: str, body: str, least_pages: int =
     `low`.
     """
     x = df.where(F.col(body).isNotNull() & F.col(group).isNotNull()).select(F.xxhash64(group).alias("g"), F.xxhash64(page).alias("a"), F.col(body).alias("b"))
-    seen = x.mapInArrow(_scanner(_table()), "g long, a long, key long, kind int, occ int, inner int, edge int, heads int, form int, at int")
-    one = stored(seen.groupBy("g", "key", "a").agg(F.min("kind").alias("kind"), *[F.sum(c).alias(c) for c in ("occ", "inner", "edge", "heads")], F.min("form").alias("form"), F.min("at").alias("at")))
-    per = cut(one.groupBy("g", "key").agg(F.min("kind").alias("kind"), F.min("form").alias("form"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "occ")).alias("vector"), *[F.sum(c).alias(c) for c in ("occ", "inner", "edge", "heads")]).where("n >= 2"))
+    seen = x.mapInArrow(_scanner(_table()), "g long, a long, key long, kind int, occ int, inner int, heads int, form int, at int")
+    one = stored(seen.groupBy("g", "key", "a").agg(F.min("kind").alias("kind"), *[F.sum(c).alias(c) for c in ("occ", "inner", "heads")], F.min("form").alias("form"), F.min("at").alias("at")))
+    per = cut(one.groupBy("g", "key").agg(F.min("kind").alias("kind"), F.min("form").alias("form"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "occ")).alias("vector"), *[F.sum(c).alias(c) for c in ("occ", "inner", "heads")]).where("n >= 2"))
     pages = cut(x.groupBy("g").agg(F.count_distinct("a").alias("pages")))
     total = pages.agg(F.sum("pages")).first()[0] or 0
     often = per.where(F.col("n") >= least_pages)

@@ -163,11 +163,17 @@ def _filler(words: list[str]):
         return False
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        search = ahocorasick.Automaton()
+        for w in signs:
+            search.add_word(w, w)
+        search.make_automaton()
         for batch in batches:
             at = []
             for k, value in enumerate(batch.column(2).to_pylist()):
                 low = value.lower()
-                if any(w in low for w in signs) and runs(low):
+                if next(search.iter(low), None) and runs(low):
                     at.append(k)
             kept = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], names=["row", "field"])
