@@ -193,13 +193,14 @@ def notice_sentences(scanned: DataFrame, n_values: int) -> list[str]:
     least = max(LEAST_ARTICLES, math.ceil(REPEATED * n_values))
     s = scanned.where("parts is not null").select("row", "field", "a", "g", F.explode("parts").alias("s"))
     s = s.select("*", F.xxhash64("s").alias("h"), F.length("s").alias("n"))
-    hosts = s.groupBy("h", "g", "a").agg(F.any_value("s").alias("s")).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.any_value("s").alias("s"))
-    known = hosts.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), F.max("n").alias("top"), F.any_value("s").alias("s"))
-    known = small(known.where((F.col("n") >= least) & ((F.col("hosts") >= LEAST_HOSTS) | (F.col("top") >= max(5, least)))).select("h", "s"))
+    hosts = s.select("h", "g", "a").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"))
+    known = hosts.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), F.max("n").alias("top"))
+    known = small(known.where((F.col("n") >= least) & ((F.col("hosts") >= LEAST_HOSTS) | (F.col("top") >= max(5, least)))).select("h"))
     each = s.join(known.select("h", F.lit(True).alias("known")), "h", "left")
     poor = each.groupBy("row", "field").agg((F.sum(F.when(F.col("known"), F.col("n"))) >= LOW_INFORMATION * F.sum("n")).alias("poor"), F.collect_set(F.when(F.col("known"), F.col("h"))).alias("hs"))
     share = poor.select("poor", F.explode("hs").alias("h")).groupBy("h").agg(F.avg(F.coalesce("poor", F.lit(False)).cast("int")).alias("share"))
-    return [r["s"] for r in known.join(share.where(F.col("share") >= LOW_INFORMATION), "h").select("s").collect()]
+    chosen = small(share.where(F.col("share") >= LOW_INFORMATION).select("h"))
+    return [r["s"] for r in s.join(chosen, "h").groupBy("h").agg(F.min("s").alias("s")).select("s").collect()]
 
 
 def _covered(notices: list[str]):
