@@ -260,3 +260,12 @@ def p9_edited(spark, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, n_words, edits, exact): also passages with one word changed, inserted or missing."""
     d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
     return find_leaks(d, "doc_id", "text", e, "item_id", "text").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "edits", "exact")
+
+
+P9_FOUND_SQL = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+e as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items where text is not null),
+dr as (select doc_id, array_to_string(w[i:i + 12], ' ') as run from d, unnest(range(1, len(w) - 11)) as t(i) where len(w) >= 13),
+er as (select item_id, array_to_string(w[i:i + 12], ' ') as run from e, unnest(range(1, len(w) - 11)) as t(i) where len(w) >= 13)
+select distinct doc_id, item_id from dr join er using (run)
+"""

@@ -196,3 +196,12 @@ def p8_checks(spark, sf_dir: str) -> DataFrame:
     x = p8_pack(spark, sf_dir)
     bins = x.groupBy("container", "bin").agg(F.sum("tokens").alias("t")).join(F.broadcast(caps), "container").groupBy("container").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("n_over"), F.sum("t").alias("n_tokens"))
     return bins.join(x.groupBy("container").agg(F.count_distinct("doc_id").alias("n_texts")), "container")
+
+
+def p8_texts(spark, sf_dir: str) -> DataFrame:
+    """(container, doc_id, n_rest): every text that has a place, with the number of parts of it that share a bin with others: one, its rest or itself."""
+    x = p8_pack(spark, sf_dir)
+    return x.groupBy("container", "doc_id").agg(F.count_if(~F.col("bin").startswith("full")).alias("n_rest"))
+
+
+P8_TEXTS_SQL = "select container, doc_id, 1 as n_rest from documents, (select distinct container from pack_limits where capacity_tokens > 0) where length(text) > 0"
