@@ -19,6 +19,7 @@ from newsloom.functions import urls as U
 from newsloom.functions import values as V
 from newsloom.operators import frontier as D
 from newsloom.operators import html as H
+from newsloom.operators.timestamps import to_utc
 from newsloom.plans import pipeline as P
 from newsloom.sources import search as R
 from newsloom.sources import sinks as K
@@ -78,6 +79,14 @@ def url_resolve(spark, d) -> DataFrame:
     return x.select("row_id", F.col("i").cast("bigint").alias("i"), U.resolve_relative_url(F.col("url"), F.col("link")).alias("link"), U.resolve_image_url(F.col("url"), F.col("link")).alias("image"))
 
 
+def local_times(spark, d) -> DataFrame:
+    """Problem 6 at night: local times between one and four o'clock in zones with and without changes, with the kind of each."""
+    zones = F.array(*map(F.lit, ["Europe/Berlin", "America/New_York", "Asia/Tokyo", "Australia/Sydney", "Europe/London"]))
+    o = table(spark, d, "orders").select("o_orderkey", F.element_at(zones, (F.pmod("o_custkey", F.lit(5)) + 1).cast("int")).alias("tz"), F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 60 * (60 + F.pmod("o_orderkey", F.lit(180)))).alias("t"))
+    x = to_utc(o.select("o_orderkey", "tz", F.date_format("t", "yyyy-MM-dd HH:mm").alias("v"), F.lit("dmy").alias("o")), "v", "tz", "o", kind="kind")
+    return x.select("o_orderkey", "epoch_us", "kind")
+
+
 def decoded_text(spark, d) -> DataFrame:
     """TXT-11, TXT-12."""
     return table(spark, d, "documents").select("doc_id", F.md5(T.decode_bytes(F.encode("text", "UTF-8"))).alias("text_md5"), T.is_english(F.col("lang")).alias("english"))
@@ -249,7 +258,7 @@ def language_outcomes(spark, d) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        date_formats, zone_times, iso_times, capped, map_merge, url_resolve, decoded_text, source_direct, search_source, api_rows, upsert_rows, keyed_store, store_lookup, csv_rows, jsonl_files, json_array, seen_set, frontier_seen,
+        date_formats, zone_times, iso_times, capped, map_merge, url_resolve, local_times, decoded_text, source_direct, search_source, api_rows, upsert_rows, keyed_store, store_lookup, csv_rows, jsonl_files, json_array, seen_set, frontier_seen,
         page_fields, page_jsonld, pipeline_run, language_outcomes,
     )
 }
@@ -275,6 +284,10 @@ def oracles(frontier: str, strip: Callable[[str], str], part: Callable[[str, int
           select row_id, i, case i when 0 then base || regexp_replace(folder, '/[^/]*$', '') || '/x/y.html' when 1 then base || '/rooted/z' when 2 then regexp_extract(base, '^([a-z]+:)', 1) || '//cdn.example/z' when 3 then 'https://abs.example/a' end as link,
           case i when 0 then base || regexp_replace(folder, '/[^/]*$', '') || '/x/y.html' when 1 then base || '/rooted/z' when 2 then 'https://cdn.example/z' when 3 then 'https://abs.example/a' when 4 then base || folder || '/file.pdf' else 'mailto:a@b.example' end as image
           from a, unnest([0, 1, 2, 3, 4, 5]) as t(i)""",
+        "local_times": """with t as (select o_orderkey, (['Europe/Berlin', 'America/New_York', 'Asia/Tokyo', 'Australia/Sydney', 'Europe/London'])[o_custkey % 5 + 1] as tz, o_orderdate + to_minutes(60 + o_orderkey % 180) as l from orders),
+          u as (select *, timezone(tz, l) as one from t),
+          c as (select *, list_filter([one - interval 1 hour, one, one + interval 1 hour], lambda x: timezone(tz, x) = l) as hits from u)
+          select o_orderkey, epoch_us(case when len(hits) = 0 then one else list_min(hits) end) as epoch_us, case len(hits) when 0 then 'skipped' when 1 then 'unique' else 'ambiguous' end as kind from c""",
         "decoded_text": "select doc_id, md5(text) as text_md5, coalesce(lang = 'en', false) as english from documents",
         "source_direct": "select * from (values ('https://a.example/1', 0), ('https://b.example/2', 1), ('https://a.example/1', 2)) as t(url, seq)",
         "search_source": r"""with q as (select distinct query, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(query, '[^\p{L}\p{N}\p{Mn}_\s\p{Z}\-'']', '', 'g'), '[\s\p{Z}]+'), lambda t: trim(t, '-')), lambda t: t <> ''), ' ') as asked from search_results where query is not null),
