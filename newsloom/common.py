@@ -68,9 +68,10 @@ def drop_temporary_tables() -> None:
         spark, path = _temporary_tables.pop()
         try:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # noqa: BLE001  the session may be gone; its folder is then its owner's to clear
-            continue
+            conf = spark._jsc.hadoopConfiguration() if spark.sparkContext._jsc else spark._jvm.org.apache.hadoop.conf.Configuration()
+            place.getFileSystem(conf).delete(place, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone; the folder is then its owner's to clear
+            return
 
 
 def _bytes(c: Column, kind: S.DataType) -> Column:
