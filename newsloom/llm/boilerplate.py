@@ -30,14 +30,17 @@ from newsloom.llm.lookalike import mapping
 from newsloom.llm.residue import residue_bodies
 
 _DIGITS = re.compile(r"[0-9]+")
+_ZEROS = bytes(0x30 if 0x30 <= i < 0x3A else i for i in range(256))
 _MARKER = re.compile(r"([0-9]+[.)]|[›•*\-–·»>])\s+")
+_MARKS = frozenset("0123456789›•*-–·»>")
 _ITEMS = re.compile(r"\s+[|/›>·•]\s+|\s{2,}")
-_SEPARATOR = re.compile(r"[|/›>·•\t]")
+_SEPARATORS = "|/›>·•\t"
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 _SOME_WORDS = re.compile(r"(?:[a-zß-ÿа-яё][^a-zß-ÿа-яё]*){4}")
 #: Anything but the characters of Latin text as usually written.
 _ODD = re.compile("[^\\x09-\\x7e\\xa1-\\xac\\xae-\\u017f\\u2013-\\u201e\\u2022\\u2026\\u203a]")
 _ENDS = tuple('.!?"”»…')
+_STOPS = tuple('.!?"”»')
 
 
 def _table() -> dict[int, str | None]:
@@ -45,6 +48,27 @@ def _table() -> dict[int, str | None]:
     return {ord(c): (dst[i] if i < len(dst) else None) for i, c in enumerate(src)} | {ord(k): v for k, v in many.items()}
 
 
+class Plain:
+    """`text.translate(table_)` by one look-up in an array; only texts with a letter that becomes several go the slow way."""
+
+    _GONE, _MANY = 0x110000, 0x110001
+
+    def __init__(self, table_: dict[int, str | None]) -> None:
+        self.table = table_
+        self.codes = np.arange(0x110000, dtype="<u4")
+        for k, v in table_.items():
+            self.codes[k] = self._GONE if not v else ord(v) if len(v) == 1 else self._MANY
+
+    def __call__(self, text: str) -> str:
+        codes = self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        top = codes.max(initial=0)
+        if top == self._MANY:
+            return text.translate(self.table)
+        if top == self._GONE:
+            codes = codes[codes != self._GONE]
+        return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _capitals() -> str:
     """The upper-case letters as ranges of a character class."""
     out, start = [], None
@@ -63,12 +87,15 @@ _NAME = rf"[\"'(«“„\[]*[{_capitals()}](?:[^ ]*[^ {_TAIL}])?"
 _NAMES = re.compile(rf"(?<![^ ]){_NAME}(?: {_NAME})*(?=[{_TAIL}]*(?: |$))")
 
 
-def _masked(text: str) -> tuple[str, str]:
-    """A text with digits and runs of capitalised words as slots: with its first word kept, and with that as a slot ('' if it is none)."""
+def _masked(text: str) -> str:
+    """A text with runs of capitalised words as slots, its first word kept."""
     first, _, rest = text.partition(" ")
-    whole = f"{first} {_NAMES.sub('\1', rest)}"
-    bare = _NAMES.sub("\1", text) if _NAMES.match(text) else ""
-    return _DIGITS.sub("0", whole.lower()), _DIGITS.sub("0", bare.lower())
+    return f"{first} {_NAMES.sub('\1', rest)}".lower()
+
+
+def _bare(text: str) -> str:
+    """A text with runs of capitalised words as slots, '' if its first word is none."""
+    return _NAMES.sub("\1", text).lower() if _NAMES.match(text) else ""
 
 
 def _hash(kind: str, text: str) -> int:
@@ -76,36 +103,46 @@ def _hash(kind: str, text: str) -> int:
 
 
 def separated(line: str) -> bool:
-    return "  " in line or bool(_SEPARATOR.search(line))
+    return "  " in line or any(map(line.__contains__, _SEPARATORS))
 
 
 def _plain(line: str) -> int:
     return _hash("c", _DIGITS.sub("0", line.lower()))
 
 
+def _caseless(body: str) -> list[bytes]:
+    """The lines of a body in lower case, every run of digits as one zero, in the bytes that `_hash` sees."""
+    low = body.lower().encode().translate(_ZEROS)
+    while b"00" in low:
+        low = low.replace(b"00", b"0")
+    return low.split(b"\n")
+
+
 def tokens(line: str) -> tuple[int, int, list[int], list[int], int]:
     """Of one line: its masked token (0 if nothing is masked), its fully masked token (0 if too bare), those of its items and of its sentences, and its caseless token.
 
     A paragraph has the caseless token and those of its items only.
     """
     s = " ".join(line.split())
-    plain = _plain(s)
     if is_paragraph(s):
         items = [x for x in _ITEMS.split(line) if x.strip()] if separated(line) else []
-        return 0, 0, [_hash("i", _DIGITS.sub("0", " ".join(x.split()).lower())) for x in items] if len(items) > 2 else [], [], plain
+        return 0, 0, [_hash("i", _DIGITS.sub("0", " ".join(x.split()).lower())) for x in items] if len(items) > 2 else [], [], _plain(s)
     raw = line
     if raw.isupper() and len(raw) > 3:
         raw, s = raw.lower(), s.lower()
-    whole, bare = _masked(s)
-    low = _DIGITS.sub("0", s.lower())
+    s = _DIGITS.sub("0", s)  # no pattern below tells digits from others of their kind
+    low = s.lower()
+    whole = _masked(s)
+    # a stop is never part of a name, so a masked line that ends with one still does
+    bare = "" if s.endswith(_STOPS) else _bare(s)
     items = [x for x in _ITEMS.split(raw) if x.strip()] if separated(raw) else []
     parts = _SENTENCES.split(s)
     return (
         _hash("l", whole) if whole != low else 0,
         _hash("m", bare) if bare and _SOME_WORDS.search(bare) and not bare.endswith(_ENDS) else 0,
         [_hash("i", _DIGITS.sub("0", " ".join(x.split()).lower())) for x in items] if len(items) > 1 else [],
-        [_hash("s", _masked(x)[0]) for x in parts] if len(parts) > 1 else [],
-        plain,
+        [_hash("s", _masked(x)) for x in parts] if len(parts) > 1 else [],
+        _hash("c", low),
     )
 
 
@@ -133,43 +170,72 @@ class Tokens(dict):
 class Page:
     """The non-blank lines of a body with their numbers, and what the deduction needs of each."""
 
-    def __init__(self, body: str, table_: dict, known: Tokens) -> None:
+    def __init__(self, body: str, plain: Plain, known: Tokens) -> None:
         if _ODD.search(body):
-            body = body.translate(table_)
-        self.at, self.lines, self.raw = [], [], []
+            body = plain(body)
+        self.at, self.lines, self.raw, self.marks, self.paragraph, self.tokens = [], [], [], [], [], []
+        low = _caseless(body)
         for n, line in enumerate(body.split("\n")):
             s = line.strip()
-            if s:
-                self.at.append(n)
-                self.raw.append(s)
-                self.lines.append(" ".join(s.split()) if "  " in s or "\t" in s else s)
-        self.marks = [m.group(1) if (m := _MARKER.match(s)) else "" for s in self.lines]
-        self.marks = ["0" + m[-1] if m[:1].isdigit() else m for m in self.marks]
-        self.paragraph = [is_paragraph(s) for s in self.lines]
-        self.tokens = [None if self.marks[i] else known[x] if not self.paragraph[i] or separated(x) else (0, 0, (), (), _plain(self.lines[i])) for i, x in enumerate(self.raw)]
+            if not s:
+                continue
+            x = " ".join(s.split()) if "  " in s or "\t" in s else s
+            mark = ""
+            if s[0] in _MARKS and (m := _MARKER.match(x)):
+                mark = m.group(1)
+                mark = "0" + mark[-1] if mark[0].isdigit() else mark
+            paragraph = is_paragraph(x)
+            self.at.append(n)
+            self.raw.append(s)
+            self.lines.append(x)
+            self.marks.append(mark)
+            self.paragraph.append(paragraph)
+            if mark:
+                self.tokens.append(None)
+            elif not paragraph or separated(s):
+                self.tokens.append(known[s])
+            elif len(x) == len(line):  # neither blanks at the edges nor joined ones
+                self.tokens.append((0, 0, (), (), xxhash.xxh64_intdigest(b"c" + low[n]) - (1 << 63)))
+            else:
+                self.tokens.append((0, 0, (), (), _plain(x)))
 
 
 def _scanner(t: dict):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(g, a, key, kind, occ, inner, heads, form, at): once for each token of a page, `at` is its first line."""
-        lines = Tokens()
+        lines, plain = Tokens(), Plain(t)
         for batch in batches:
             groups, articles, sizes, keys, stats = [], [], [], [], []
             for g, a, body in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
-                p = Page(body, t, lines)
+                p = Page(body, plain, lines)
                 n = len(p.lines)
                 seen: dict[int, list] = {}
+
+                def count(key, kind, form, seen=seen) -> None:
+                    e = seen.get(key)
+                    if e is None:
+                        seen[key] = [kind, 1, inner, heads, form, i]
+                    else:
+                        e[1] += 1
+                        e[2] += inner
+                        e[3] += heads
+
                 for i, tok in enumerate(p.tokens):
                     if tok is None:
                         continue
+                    whole, bare, items, parts, key = tok
                     inner = 0 < i < n - 1 and p.paragraph[i - 1] and p.paragraph[i + 1]
-                    heads = i < n - 1 and (p.marks[i + 1] in ("›", "0.", "»", ">") or (not p.marks[i + 1] and title_like(p.lines[i + 1]))) and not p.lines[i].endswith(_ENDS)
                     stop = p.lines[i].endswith(_ENDS)
-                    for key, kind, form in [(tok[4], 1 if stop else 0, 0), *([(k, 1 if stop else 0, f) for f, k in enumerate(tok[:2], 1) if k]), *((k, 2, 3) for k in tok[2]), *((k, 3, 4) for k in tok[3])]:
-                        e = seen.setdefault(key, [kind, 0, 0, 0, form, i])
-                        e[1] += 1
-                        e[2] += inner
-                        e[3] += heads
+                    heads = not stop and i < n - 1 and (p.marks[i + 1] in ("›", "0.", "»", ">") or (not p.marks[i + 1] and title_like(p.lines[i + 1])))
+                    count(key, int(stop), 0)
+                    if whole:
+                        count(whole, int(stop), 1)
+                    if bare:
+                        count(bare, int(stop), 2)
+                    for k in items:
+                        count(k, 2, 3)
+                    for k in parts:
+                        count(k, 3, 4)
                 groups.append(g)
                 articles.append(a)
                 sizes.append(len(seen))
@@ -234,7 +300,7 @@ def _marker(everywhere: list[int], t: dict):
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, tuple[frozenset, frozenset]] = {}
-        lines = Tokens()
+        lines, plain = Tokens(), Plain(t)
         for batch in batches:
             rows, numbers = [], []
             keys, heads = batch.column(3), batch.column(4)
@@ -243,7 +309,7 @@ def _marker(everywhere: list[int], t: dict):
                     if len(known) > 2000:
                         known.clear()
                     known[g] = (frozenset(keys[k].as_py() or ()), frozenset(heads[k].as_py() or ()))
-                for n in page_elements(Page(body, t, lines), *known[g], rare):
+                for n in page_elements(Page(body, plain, lines), *known[g], rare):
                     rows.append(row)
                     numbers.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int64())], names=["row", "line_no"])

@@ -78,8 +78,9 @@ _SYNTAX = re.compile("|".join(PLACEHOLDERS))
 _STOCK = re.compile("|".join(f"(?i:{p.removeprefix('(?i)')})" if p.startswith("(?i)") else f"(?:{p})" for p in DUMMIES))
 _TERM = re.compile(r"[^\W\d_]{5,}")
 _BREAK = re.compile(r"[.!?…]+(?:\s+|$)|\s*[()]\s*")
+_STOP = re.compile(r"[.!?…]+(?:\s+|$)")
 _DIGIT = re.compile(r"\d")
-_NUMBER = re.compile(r"\w*\d\w*")
+_NUMBER = re.compile(r"\b[^\W\d]*\d\w*")
 #: A number, or a word and a number, set off before a sentence.
 _PREFIX = re.compile(r"\W*(?:\w+\s+)?0\s*[:–—-]\s+")
 _SEED = re.compile(r"\b(?:" + "|".join(SEEDS) + r")\b")
@@ -90,7 +91,7 @@ def sentences(low: str) -> list[str]:
     """Sentences of a text in lower case, every word or number with a digit as one sign, without numbers set off before them."""
     out = []
     for line in low.split("\n"):
-        for x in _BREAK.split(line):
+        for x in (_BREAK if "(" in line or ")" in line else _STOP).split(line):
             if _DIGIT.search(x):
                 x = _NUMBER.sub("0", x)
                 if m := _PREFIX.match(x):
@@ -103,12 +104,12 @@ def sentences(low: str) -> list[str]:
 
 def mismatched(low: str, terms: set[str]) -> bool:
     """Whether a text in lower case holds hardly any of the terms; without terms nothing speaks against it."""
-    return sum(w in low for w in terms) <= FOREIGN * len(terms)
+    return sum(map(low.__contains__, terms)) <= FOREIGN * len(terms)
 
 
 def has_placeholder(value: str, low: str) -> bool:
     """Whether a value, given also in lower case, holds template syntax or a stock line."""
-    return any(_SYNTAX.match(value, m.start()) for m in _START.finditer(value)) or (any(w in low for w in _WORDS) and bool(_STOCK.search(value)))
+    return any(_SYNTAX.match(value, m.start()) for m in _START.finditer(value)) or (any(map(low.__contains__, _WORDS)) and bool(_STOCK.search(value)))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before, terms = t, set(_TERM.findall(t.lower()))
             mark = has_placeholder(value, low)
             own = sentences(low) if mismatched(low, terms) else None
-            dummy = re.split(r"[.!?\n]+", low) if any(w in low for w in SEEDS) and _SEED.search(low) else None
+            dummy = re.split(r"[.!?\n]+", low) if any(map(low.__contains__, SEEDS)) and _SEED.search(low) else None
             if mark or own or dummy:
                 at.append(k)
                 marks.append(mark)

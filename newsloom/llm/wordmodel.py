@@ -74,8 +74,12 @@ def averages(rows: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     n = counted[ends] - counted[starts]
     sums = np.zeros((len(ends), rows.shape[1]), np.float32)
     full = np.flatnonzero(ends > starts)
-    if len(full):
-        sums[full] = np.add.reduceat(rows[ids], starts[full], axis=0)
+    first = 0
+    while first < len(full):  # in blocks, so that the words' rows stay in the cache
+        last = max(first + 1, int(np.searchsorted(ends[full], ends[full[first]] + 20_000)))
+        part, at = full[first:last], starts[full[first]]
+        sums[part] = np.add.reduceat(rows[ids[at : ends[part[-1]]]], starts[part] - at, axis=0)
+        first = last
     return sums / np.maximum(n, 1)[:, None], n
 
 

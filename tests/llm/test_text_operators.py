@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import time
 import unicodedata
 
 import numpy as np
@@ -256,6 +257,31 @@ def test_codewords_and_labels(spark):
     assert [r[0] for r in labels.select(language.label(F.col("v"))).collect()] == ["en", "en", "en", "en", None, None, None, "de", "ru"]
 
 
+def test_pages_are_read_alike_and_cheaply(spark):
+    """Letters by one look-up, lines hashed from one lower-case body and losses by one product give what the plain ways give."""
+    table_ = boilerplate._table()
+    plain = boilerplate.Plain(table_)
+    rng = random.Random(8)
+    odd = [*map(chr, rng.sample(sorted(table_), 300)), *"аб яé\n.", "\U0001f600", "ﬁ"]
+    for text in ("", "ﬁn", "о\u200bк", *("".join(rng.choices(odd, k=80)) for _ in range(200))):
+        assert plain(text) == text.translate(table_)
+    russian = "Совет города снова собрался у реки. " * 3000
+    took = {}
+    for f in (plain, lambda x: x.translate(table_)):
+        t = time.thread_time()
+        f(russian)
+        took[f is plain] = time.thread_time() - t
+    assert took[True] < took[False] / 2
+    for line in (f"In 2024 ÉCOLE {'the bridge was closed ' * 6}again 007.", f" 1007 edges {'word ' * 30}stop. ", f"Two  blanks {'word ' * 30}stop.", f"Nbsp\xa0{'word ' * 30}stop 10\xa0.\xa0", f"A | B | C | {'word ' * 30}100."):
+        page = boilerplate.Page(f"Short 12\n{line}\n1. item", plain, boilerplate.Tokens())
+        assert page.at == [0, 1, 2] and page.paragraph[1] and page.tokens[1][4] == boilerplate._plain(page.lines[1]) and page.tokens[2] is None
+        assert page.tokens[0] == boilerplate.tokens("Short 12")
+    margins, code = np.random.default_rng(1).normal(0, 3, (300, 15)).astype(np.float32), language.codewords(7)
+    loss = np.logaddexp(0, -margins[:, None, :].astype(float) * code[None]).sum(2)
+    best, sure = language.decode(margins, code)
+    assert (best == loss.argmin(1)).all() and np.allclose(sure, 1 / np.exp(loss.min(1, keepdims=True) - loss).sum(1), atol=1e-5)
+
+
 # ---- 8 -------------------------------------------------------------------------------------
 def test_best_fill_against_brute_force():
     rng = random.Random(4)
